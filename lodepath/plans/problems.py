@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import shredding
-from ..session import table
+from ..operators import compaction, drift, profiling, shredding
+from ..session import materialise, table
 
 BLOBS = ["v5_processed_job_data_json", "enriched_company_data_json", "job_information_json"]
 
@@ -22,5 +22,77 @@ def p1_tables(spark: SparkSession, d: str) -> DataFrame:
     return tables.select(F.col("id").alias("row_id"), "blob", "level", "path", "parent_path", F.to_json("fields").alias("fields"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_tables": p1_tables}
+FIELD_PARENTS = ["job_information", "v5_processed_job_data"]
+FIELD_TYPES = {
+    "id": "string", "source": "string", "requisition_id": "string", "is_expired": "boolean", "board_token": "string",
+    "job_information.title": "string", "job_information.job_title_raw": "string", "job_information.viewedByUsers": "string",
+    "v5_processed_job_data.core_job_title": "string", "v5_processed_job_data.yearly_min_compensation": "double", "v5_processed_job_data.seniority_level": "string",
+}
+BIN_BYTES = 8 << 20
+
+
+def _fields(spark: SparkSession, d: str, values: bool = False) -> DataFrame:
+    return materialise(drift.load_fields(table(spark, d, "feed_records"), "record_id", "feed_id", "drop_no", "record_json", FIELD_PARENTS, values=values))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return drift.changes(_fields(spark, d)).withColumnsRenamed({"feed": "feed_id", "drop": "drop_no"})
+
+
+def p4_table(spark: SparkSession, d: str) -> DataFrame:
+    """All records in one typed table, renamed fields under one name, with the casts that failed."""
+    fields = _fields(spark, d, values=True)
+    out = drift.consistent(fields, drift.unified_names(drift.changes(fields)), FIELD_TYPES)
+    return out.withColumnsRenamed({"row": "record_id", "feed": "feed_id", "drop": "drop_no"}).withColumns({"other_fields": F.to_json("other_fields"), "failed_casts": F.to_json("failed_casts")})
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return compaction.redundant(materialise(compaction.digests(table(spark, d, "raw_files"))))
+
+
+def p5_bins(spark: SparkSession, d: str) -> DataFrame:
+    """The bin of each file that is kept."""
+    files = table(spark, d, "raw_files")
+    digested = materialise(compaction.digests(files))
+    kept = files.select("file_id", "size_bytes").join(compaction.redundant(digested), "file_id", "left_anti")
+    return compaction.plan_bins(kept, BIN_BYTES)
+
+
+def _checked(spark: SparkSession, d: str) -> DataFrame:
+    return profiling.with_validity(table(spark, d, "jobs"), table(spark, d, "country_codes"), "row_id", "load_id")
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    checked = _checked(spark, d)
+    moved = profiling.changed_loads(checked, table(spark, d, "ingest_runs").select("root_dir", "load_id"), "root_dir", "load_id")
+    values = profiling.offending(checked, "row_id", "load_id")
+    return values.unionByName(moved.select("load_id", F.lit(0).cast("long").alias("row_id"), "column_name")).distinct()
+
+
+PROFILED = [
+    "source", "board_token", "is_expired", "title", "job_title_raw", "core_job_title", "job_category", "seniority_level", "role_type", "workplace_type", "formatted_workplace_location",
+    "workplace_countries", "min_industry_and_role_yoe", "yearly_min_compensation", "yearly_max_compensation", "listed_compensation_currency", "technical_tools", "estimated_publish_date",
+    "company_name", "company_website", "enriched_status", "nb_employees", "year_founded", "latitude", "longitude",
+]
+NUMERIC = ["min_industry_and_role_yoe", "yearly_min_compensation", "yearly_max_compensation", "nb_employees", "year_founded", "latitude", "longitude"]
+
+
+def p6_profile(spark: SparkSession, d: str) -> DataFrame:
+    """Rows, nulls, distincts, range and most frequent value of each column in each load."""
+    return profiling.profile(table(spark, d, "jobs"), ["load_id"], PROFILED, NUMERIC)
+
+
+def p6_shifts(spark: SparkSession, d: str) -> DataFrame:
+    """Chi-square, population stability index and half the sum of share differences between consecutive loads."""
+    columns = ["seniority_level", "workplace_countries", "workplace_type", "role_type", "job_category", "source", "listed_compensation_currency"]
+    out = profiling.shifts(table(spark, d, "jobs"), table(spark, d, "ingest_runs").select("root_dir", "load_id"), "root_dir", "load_id", columns)
+    return out.withColumns({c: F.round(c, 6) for c in ("half_abs", "chi_square", "psi")})
+
+
+QUERIES = {
+    "p1_found": p1_found, "p1_tables": p1_tables,
+    "p4_found": p4_found, "p4_table": p4_table,
+    "p5_found": p5_found, "p5_bins": p5_bins,
+    "p6_found": p6_found, "p6_profile": p6_profile, "p6_shifts": p6_shifts,
+}
 ORACLE: dict[str, str] = {}
