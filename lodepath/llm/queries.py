@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import neardup
+from . import leakage, neardup, packing, residue
 
 
 def _postings(spark: SparkSession, d: str) -> neardup.NearDuplicates:
@@ -23,5 +23,66 @@ def p2_groups(spark: SparkSession, d: str) -> DataFrame:
     return _postings(spark, d).groups().withColumnRenamed("id", "row_id")
 
 
-QUERIES = {"p2_found": p2_found, "p2_groups": p2_groups}
+#: Tokens in a container.
+CAPACITY = 4096
+
+
+def _byte_tokens(c: str):
+    """Tokens of the byte-level tokenizer: one for each UTF-8 byte and one that ends the text; null counts as empty."""
+    return F.coalesce(F.octet_length(c), F.lit(0)) + 1
+
+
+def _packed(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(table(spark, d, "documents"), "doc_id", _byte_tokens("text"), CAPACITY)
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return _packed(spark, d).filter("piece > 0").select(F.col("id").alias("doc_id")).distinct()
+
+
+def p7_packing(spark: SparkSession, d: str) -> DataFrame:
+    """The container and position of each piece of each document."""
+    return _packed(spark, d).withColumnRenamed("id", "doc_id")
+
+
+def p7_containers(spark: SparkSession, d: str) -> DataFrame:
+    """How full each container is."""
+    return packing.containers(_packed(spark, d), CAPACITY)
+
+
+def _leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "text")
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return _leaks(spark, d).select(F.col("id").alias("doc_id"), "item_id").distinct()
+
+
+def p8_spans(spark: SparkSession, d: str) -> DataFrame:
+    """The words to remove from each document, and the item that they belong to."""
+    return _leaks(spark, d).withColumnRenamed("id", "doc_id")
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return residue.find_residue(table(spark, d, "documents"), "doc_id", "text").select(F.col("id").alias("doc_id")).distinct()
+
+
+def p9_passages(spark: SparkSession, d: str) -> DataFrame:
+    """What was found in each document, by kind, and its share of the text."""
+    found = residue.find_residue(table(spark, d, "documents"), "doc_id", "text")
+    return found.select(F.col("id").alias("doc_id"), F.array_join("kinds", ",").alias("kinds"), F.array_join("passages", "\n").alias("passages"), "coverage")
+
+
+def p9_clean(spark: SparkSession, d: str) -> DataFrame:
+    """The documents without those found."""
+    docs = table(spark, d, "documents")
+    return docs.join(p9_found(spark, d), "doc_id", "left_anti")
+
+
+QUERIES = {
+    "p2_found": p2_found, "p2_groups": p2_groups,
+    "p7_found": p7_found, "p7_packing": p7_packing, "p7_containers": p7_containers,
+    "p8_found": p8_found, "p8_spans": p8_spans,
+    "p9_found": p9_found, "p9_passages": p9_passages, "p9_clean": p9_clean,
+}
 ORACLE: dict[str, str] = {}
