@@ -85,7 +85,7 @@ class WaveletMatrix:
 
 
 class FMIndex:
-    """Index of a sequence of numbers from 1 to size - 1; 0 separates and ends."""
+    """Index of a sequence of numbers from 1 to size - 1; 0, which ends it, must stand nowhere else, or walks would go astray."""
 
     def __init__(self, seq: np.ndarray, size: int):
         seq = np.append(seq, 0).astype(np.int64)
@@ -137,12 +137,12 @@ class Phrases:
             ws = WORD.findall(visible(text).casefold())
             if len(ws) < k:
                 continue
-            codes = [self.number.setdefault(w, len(self.number) + 1) for w in ws]
+            codes = [self.number.setdefault(w, len(self.number) + 2) for w in ws]  # 1 separates
             for i in range(len(codes) - k + 1):
                 rows.setdefault(tuple(codes[i : i + k]), set()).add(item)
         self.rows = np.array(list(rows), np.int64).reshape(-1, k)
         self.items = [sorted(x) for x in rows.values()]
-        self.size = len(self.number) + 1
+        self.size = len(self.number) + 2
 
 
 def _pieces(text: str, phrases: Phrases) -> Iterator[tuple[int, np.ndarray]]:
@@ -161,7 +161,7 @@ def spans(docs: list[tuple[int, list[tuple[int, np.ndarray]]]], phrases: Phrases
     parts, starts, owners, at = [], [], [], 0
     for doc, pieces in docs:
         for position, codes in pieces:
-            parts += [codes, np.zeros(1, np.int64)]
+            parts += [codes, np.ones(1, np.int64)]
             starts.append(at)
             owners.append((doc, position))
             at += len(codes) + 1
