@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import table
-from . import leakage, neardup, packing, residue
+from ..session import materialise, small_join, table
+from . import canonical, leakage, neardup, packing, residue
 
 
 def _postings(spark: SparkSession, d: str) -> neardup.NearDuplicates:
@@ -23,6 +23,21 @@ def p2_groups(spark: SparkSession, d: str) -> DataFrame:
     return _postings(spark, d).groups().withColumnRenamed("id", "row_id")
 
 
+def _mapped(spark: SparkSession, d: str) -> DataFrame:
+    return materialise(canonical.map_values(table(spark, d, "jobs"), "job_title_raw", table(spark, d, "core_titles"), "title_id", "core_job_title", "known_aliases"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    jobs = table(spark, d, "jobs").select("row_id", F.col("job_title_raw").alias("value"))
+    return small_join(jobs, _mapped(spark, d), ["value"], "left").select("row_id", F.coalesce("entry", F.lit(0).cast("long")).alias("title_id"))
+
+
+def p3_unmatched(spark: SparkSession, d: str) -> DataFrame:
+    """The values without an entry and how many rows hold them."""
+    counts = table(spark, d, "jobs").groupBy(F.col("job_title_raw").alias("value")).agg(F.count(F.lit(1)).alias("n_rows"))
+    return counts.join(_mapped(spark, d).filter("entry is null"), "value").select("value", "n_rows")
+
+
 #: Tokens in a container.
 CAPACITY = 4096
 
@@ -81,6 +96,7 @@ def p9_clean(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "p2_found": p2_found, "p2_groups": p2_groups,
+    "p3_found": p3_found, "p3_unmatched": p3_unmatched,
     "p7_found": p7_found, "p7_packing": p7_packing, "p7_containers": p7_containers,
     "p8_found": p8_found, "p8_spans": p8_spans,
     "p9_found": p9_found, "p9_passages": p9_passages, "p9_clean": p9_clean,
