@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..session import materialise
 
 #: Items that one task packs.
-SHARD_ITEMS = 100_000
+SHARD_ITEMS = 25_000
 #: Containers less full than this share are packed again with those of other shards.
 FULL = 0.97
 
