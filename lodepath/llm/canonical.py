@@ -191,7 +191,9 @@ def map_values(values: DataFrame, column: str, reference: DataFrame, entry: str,
     weight = parts.groupBy("word").agg((F.log(F.lit(1.0 + total)) - F.log(F.count_distinct("entry"))).alias("idf"))
     parts = materialise(parts.join(weight, "word"))
     distinct = values.select(F.col(column).alias("value")).filter("value is not null").distinct()
-    cut = materialise(distinct.mapInArrow(_explode_values, "value string, token string, head boolean"))
+    # a number of partitions that is not merged away: cutting is slow, though the values are small
+    parted = distinct.repartition(int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")), "value")
+    cut = materialise(parted.mapInArrow(_explode_values, "value string, token string, head boolean"))
     matches = materialise(match_tokens(cut.select("token").distinct(), parts.select("word").distinct()))
     met = small_join(cut, matches, ["token"]).groupBy("value", "word").agg(F.max(F.when(F.col("head"), F.col("sim"))).alias("in_head"), F.max("sim").alias("anywhere"))
     hits = small_join(met, parts, ["word"])
