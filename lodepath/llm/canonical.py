@@ -148,7 +148,8 @@ def _compare(batches):
 
 def match_tokens(distinct: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(token, word, sim) of the pairs of tokens that may stand for each other, joined on keys, never crossed."""
-    left = distinct.select("token").mapInArrow(_spread(True), "token string, key string")
+    tasks = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    left = distinct.select("token").repartition(tasks, "token").mapInArrow(_spread(True), "token string, key string")
     right = vocabulary.select(F.col("word").alias("token")).mapInArrow(_spread(False), "token string, key string").withColumnRenamed("token", "word")
     pairs = left.join(right, "key").select("token", "word").distinct()
     return pairs.mapInArrow(_compare, "token string, word string, sim double").filter("sim > 0")

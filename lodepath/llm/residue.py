@@ -171,11 +171,12 @@ def automaton() -> _Automaton:
     return _Automaton(telling, set(SUPPORT_WORDS.split()))
 
 
+_NUMBER = re.compile(r"(?=[a-f]*[0-9])[0-9a-f]+")
+
+
 def _words(s: str) -> list[str]:
-    out = []
-    for w in _KEEP.findall(s.replace("’", " ").casefold()):
-        out.append("0" if any(c.isdigit() for c in w) and (w.isdigit() or re.fullmatch(r"[0-9a-f]+", w)) else w)
-    return out
+    """Words in lower case; numbers, and codes of hexadecimal digits, as 0."""
+    return ["0" if w[0] <= "f" and _NUMBER.fullmatch(w) else w for w in _KEEP.findall(s.replace("’", " ").casefold())]
 
 
 def _runs(words: list[str]) -> str | None:
@@ -190,7 +191,13 @@ def _runs(words: list[str]) -> str | None:
     return None
 
 
+#: Some of these stand in every template mark.
+_HINT = re.compile(r"[{}\[\]<>«»@$#%*]|\(\w|__|:[A-Z]|undefined|XXXX|NaN")
+
+
 def _marks(sentence: str) -> bool:
+    if not _HINT.search(sentence):
+        return False
     talk = TALK.search(sentence)
     for m in _STRONG.finditer(sentence):
         inner = next((g for g in m.groups() if g is not None), "")
