@@ -95,4 +95,34 @@ QUERIES = {
     "p5_found": p5_found, "p5_bins": p5_bins,
     "p6_found": p6_found, "p6_profile": p6_profile, "p6_shifts": p6_shifts,
 }
-ORACLE: dict[str, str] = {}
+_GOOD_PLACES = """regexp_full_match(workplace_countries, '[ \\t\\n\\r]*\\[[ \\t\\n\\r]*("([^"\\\\]|\\\\.)*"[ \\t\\n\\r]*(,[ \\t\\n\\r]*"([^"\\\\]|\\\\.)*"[ \\t\\n\\r]*)*)?\\][ \\t\\n\\r]*')"""
+_LEVELS = ", ".join(f"'{x}'" for x in profiling.LEVELS)
+ORACLE = {
+    "p6_found": f"""
+WITH j AS (
+    SELECT load_id, row_id, yearly_min_compensation AS pay, yearly_max_compensation AS high, seniority_level AS level, workplace_countries AS place,
+           CASE WHEN {_GOOD_PLACES} THEN from_json(workplace_countries, '["VARCHAR"]') END AS codes FROM jobs
+), v AS (
+    SELECT load_id, row_id, 'yearly_min_compensation' AS c, pay IS NULL AS missing, coalesce(NOT isnan(pay) AND pay BETWEEN 1000 AND 2000000 AND (high IS NULL OR isnan(high) OR pay <= high), false) AS good, pay AS num, NULL AS lab FROM j
+    UNION ALL SELECT load_id, row_id, 'seniority_level', level IS NULL, coalesce(level IN ({_LEVELS}), false), NULL, level FROM j
+    UNION ALL SELECT load_id, row_id, 'workplace_countries', place IS NULL, coalesce(len(list_distinct(codes)) = len(codes) AND list_has_all((SELECT list(country_code) FROM country_codes), codes), false), NULL, codes[1] FROM j
+), pairs AS (
+    SELECT load_id, lag(load_id) OVER (PARTITION BY root_dir ORDER BY load_id) AS prev FROM ingest_runs WHERE load_id IN (SELECT load_id FROM jobs)
+), s AS (
+    SELECT load_id, c, avg(missing::INT) AS nulls, median(num) FILTER (good) AS med FROM v GROUP BY 1, 2
+), n AS (
+    SELECT load_id, c, lab, count(*)::DOUBLE AS n FROM v WHERE good AND lab IS NOT NULL GROUP BY 1, 2, 3
+), p AS (SELECT load_id, c, lab, n / sum(n) OVER (PARTITION BY load_id, c) AS p FROM n
+), moved AS (
+    SELECT d.load_id, d.c, sum(abs(d.p)) / 2 AS half FROM (
+        SELECT load_id, c, lab, sum(p) AS p FROM (
+            SELECT pairs.load_id, c, lab, p FROM pairs JOIN p USING (load_id) WHERE prev IS NOT NULL UNION ALL SELECT pairs.load_id, c, lab, -p FROM pairs JOIN p ON p.load_id = prev
+        ) GROUP BY 1, 2, 3
+    ) d JOIN pairs USING (load_id) WHERE EXISTS (SELECT 1 FROM p WHERE p.load_id = d.load_id AND p.c = d.c) AND EXISTS (SELECT 1 FROM p WHERE p.load_id = prev AND p.c = d.c) GROUP BY 1, 2
+)
+SELECT load_id, row_id, c AS column_name FROM v WHERE NOT missing AND NOT good
+UNION
+SELECT a.load_id, 0, a.c FROM pairs JOIN s a USING (load_id) JOIN s b ON b.load_id = prev AND b.c = a.c
+WHERE abs(a.nulls - b.nulls) >= 0.2 - 1e-12 OR greatest(a.med, b.med) >= 1.4 * least(a.med, b.med) - 1e-12
+UNION SELECT load_id, 0, c FROM moved WHERE half >= 0.25 - 1e-12""",
+}
