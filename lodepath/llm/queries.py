@@ -101,4 +101,6 @@ QUERIES = {
     "p8_found": p8_found, "p8_spans": p8_spans,
     "p9_found": p9_found, "p9_passages": p9_passages, "p9_clean": p9_clean,
 }
-ORACLE: dict[str, str] = {}
+ORACLE = {
+    "p7_found": f"SELECT doc_id FROM documents WHERE strlen(text) + 1 > {CAPACITY}",
+}
