@@ -13,6 +13,9 @@ from pyspark.sql import SparkSession
 from ..plans.ingest import IngestResult, run_ingest
 
 
+_FILES = "path string, modificationTime timestamp, length bigint, content binary"
+
+
 def ingest_stream(spark: SparkSession, json_dir: str, out_dir: str, checkpoint: str, on_result: Callable[[IngestResult], None] | None = None, once: bool = False, interval: str = "1 minute"):
     """Start a query that ingests whenever new files arrive; with once, what is there now, then it ends.
 
@@ -24,6 +27,6 @@ def ingest_stream(spark: SparkSession, json_dir: str, out_dir: str, checkpoint:
         if on_result:
             on_result(result)
 
-    arrivals = spark.readStream.format("binaryFile").option("pathGlobFilter", "*.json.gz").load(json_dir).select("path")
+    arrivals = spark.readStream.format("binaryFile").schema(_FILES).option("pathGlobFilter", "*.json.gz").load(json_dir).select("path")
     writer = arrivals.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=interval)).start()
