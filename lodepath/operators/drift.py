@@ -57,7 +57,7 @@ def _load(parents: list[str], id_field: str, values: bool):
                 if fields is None:
                     out.append((row, feed, drop, None, None, None, None, None, None))
                     continue
-                key = next((f[4] for f in fields if f[0] == id_field), None)
+                key = next((f[4] for f in fields if f[0] == id_field and f[3] is not None), None)
                 out += [(row, feed, drop, key, p, lv, t, g, v if values else None) for p, lv, t, g, v in fields]
             cols = list(zip(*out, strict=True)) if out else [[]] * len(_FIELDS)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _FIELDS.types, strict=True)], schema=_FIELDS)

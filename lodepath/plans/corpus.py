@@ -95,6 +95,8 @@ QUERIES = {
     "breakdown_min_compensation": lambda s, d: stats.breakdown(_jobs(s, d), "yearly_min_compensation", 20),
     "breakdown_total_seniority": lambda s, d: stats.breakdown_total(_jobs(s, d), "seniority_level"),
     "technical_tools": lambda s, d: stats.multi_breakdown(_jobs(s, d), "technical_tools"),
+    "workplace_countries": lambda s, d: stats.multi_breakdown(_jobs(s, d).filter("try_variant_get(try_parse_json(workplace_countries), '$', 'array<string>') is not null"), "workplace_countries", 15),
+    "breakdown_company_all": lambda s, d: stats.breakdown(_jobs(s, d), "company_name", 40, include_expired=True),
     "technical_tools_totals": lambda s, d: stats.multi_breakdown_totals(_jobs(s, d), "technical_tools"),
     "compensation_by_currency": lambda s, d: _rounded(stats.compensation(_jobs(s, d))),
     "compensation_coverage": lambda s, d: stats.compensation_coverage(_jobs(s, d)),
@@ -127,6 +129,8 @@ ORACLE = {
     "breakdown_min_compensation": f"SELECT {_FILLED.format(c='yearly_min_compensation')} AS label, count(*) AS n FROM jobs WHERE {_A} AND {_FILLED.format(c='yearly_min_compensation')} IS NOT NULL GROUP BY 1 ORDER BY n DESC, label LIMIT 20",
     "breakdown_total_seniority": f"SELECT count({_FILLED.format(c='seniority_level')}) AS total FROM jobs WHERE {_A}",
     "technical_tools": f"SELECT u.value AS label, count(*) AS n FROM jobs, unnest(from_json(nullif(coalesce(technical_tools, '[]'), ''), '[\"VARCHAR\"]')) AS u(value) WHERE {_A} GROUP BY 1 ORDER BY n DESC, label LIMIT 25",
+    "workplace_countries": f"SELECT u.value AS label, count(*) AS n FROM (SELECT * FROM jobs WHERE json_valid(workplace_countries) AND workplace_countries NOT LIKE '%,]%' AND json_type(workplace_countries::JSON) = 'ARRAY'), unnest(from_json(workplace_countries, '[\"VARCHAR\"]')) AS u(value) WHERE {_A} GROUP BY 1 ORDER BY n DESC, label NULLS LAST LIMIT 15",
+    "breakdown_company_all": "SELECT nullif(nullif(company_name, ''), '[]') AS label, count(*) AS n FROM jobs WHERE nullif(nullif(company_name, ''), '[]') IS NOT NULL GROUP BY 1 ORDER BY n DESC, label LIMIT 40",
     "technical_tools_totals": f"SELECT count(*) AS mentions, count(DISTINCT requisition_id) AS jobs_with_value FROM jobs, unnest(from_json(nullif(coalesce(technical_tools, '[]'), ''), '[\"VARCHAR\"]')) AS u(value) WHERE {_A}",
     "compensation_by_currency": "SELECT currency, count(*) AS jobs, count(lo) AS min_jobs, "
     + ", ".join(f"round(quantile_cont(lo, {q}), 2) AS min_{n}" for q, n in ((0.25, "p25"), (0.5, "median"), (0.75, "p75")))

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -71,6 +72,20 @@ class Snapshots:
             raise IngestError(f"version {version} could not be made current: {e}") from e
         return record
 
+    def info(self) -> dict:
+        """Version, bytes and rows of the table, entries of the manifest and when it was written; Nones if there is no snapshot.
+
+        Entries of deleted inputs stay, so there may be more of them than files.
+        """
+        now, fs = self.current(), self._fs()
+        out = dict.fromkeys(("version", "bytes", "rows", "manifest_entries", "written_at"))
+        if now is None:
+            return out
+        folder = self._path(now["version"])
+        out |= {"version": now["version"], "bytes": fs.getContentSummary(folder).getLength(), "rows": self.read("jobs").count(), "manifest_entries": self.read("manifest").count()}
+        out["written_at"] = datetime.fromtimestamp(fs.getFileStatus(self._path("CURRENT")).getModificationTime() / 1000, timezone.utc).strftime("%Y-%m-%d %H:%M")
+        return out
+
     def expire(self, keep: int = 2) -> list[str]:
         """Delete all but the newest versions; never the current one."""
         fs, now = self._fs(), self.current()

@@ -57,6 +57,8 @@ def test_life_of_a_corpus(spark, tmp_path):
     with pytest.raises(ValueError, match="limit must be positive"):
         run_ingest(spark, str(src), out, limit=0)
     assert Snapshots(spark, out).expire(1)
+    info = Snapshots(spark, out).info()
+    assert info["rows"] == info["manifest_entries"] == 1 and info["bytes"] > 0 and Snapshots(spark, str(tmp_path / "no")).info()["rows"] is None
 
 
 def test_equal_keys_last_name_wins(spark, tmp_path):
