@@ -71,8 +71,13 @@ def run_ingest(spark: SparkSession, json_dir: str, out_dir: str, limit: int | No
     n_files, n_todo = files.count(), todo.count()
     say(f"{n_files} files, {n_todo} to parse")
     started = time.monotonic()
-    # contents are read for the selected paths only: the semi-join on path sits right above the scan
-    content = spark.read.format("binaryFile").option("pathGlobFilter", "*.json.gz").load(json_dir).select("path", "content") if n_todo else _empty(spark, "path string, content binary")
+    # contents are read only of files as young as those selected: the range reaches the scan, the join does the rest
+    low, high = todo.agg(F.min("mtime_us"), F.max("mtime_us")).first()
+    if low is not None:
+        scan = spark.read.format("binaryFile").option("pathGlobFilter", "*.json.gz").load(json_dir)
+        content = scan.filter(F.col("modificationTime").between(F.timestamp_micros(F.lit(low)), F.timestamp_micros(F.lit(high)))).select("path", "content")
+    else:
+        content = _empty(spark, "path string, content binary")
     picked = todo.join(content, "path", "left").select("root_dir", "file_name", "content")
     parsed = materialise(parse_content(picked, ["root_dir", "file_name"])) if n_todo else parse_content(picked, ["root_dir", "file_name"])
     counts = parsed.agg(F.count_if(F.col("error").isNull()).alias("ok"), F.count_if(F.col("error").isNotNull()).alias("bad")).first()
