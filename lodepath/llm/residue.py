@@ -37,16 +37,17 @@ activa javascript|activar javascript|active javascript|javascript está desactiv
 ERROR_PHRASES = """
 access denied|permission to view|not found|page not found|cannot be displayed|could not be displayed|cannot be shown|could not be shown|could not be found|could not be taken|could not be removed|has moved or was|was taken away|no longer available|page has moved|page was removed
 internal server error|server error|service unavailable|temporarily unavailable|gateway timeout|bad gateway|bad request|forbidden|unauthorized|too many requests|unhandled exception|did not answer within|down for maintenance|under maintenance|session has expired|session expired
-something went wrong|an error occurred|an error has occurred|could not render|could not finish|could not complete|could not load|failed to load|try again later|try again in|request blocked|connection refused|connection timed out|stack trace|null reference|nullreference|error 0|oops
-zugriff verweigert|nicht gefunden werden|nicht gefunden|ist ein fehler aufgetreten|fehler aufgetreten|fehler 0|nicht verfügbar|wartungsarbeiten|sitzung ist abgelaufen|sitzung abgelaufen|erneut versuchen|versuchen sie es|kann nicht angezeigt werden|konnte nicht geladen werden|zu viele anfragen|interner serverfehler
-accès refusé|page introuvable|introuvable|erreur 0|indisponible|erreur est survenue|erreur s est produite|session a expiré|trop de requêtes|réessayez|veuillez réessayer|en maintenance|ne peut pas être affichée|n existe plus|erreur interne|n a pas pu être
-acceso denegado|no se encontró|error 0|no disponible|se ha producido un error|ha ocurrido un error|vuelve a intentarlo|inténtalo de nuevo|sesión ha caducado|sesión ha expirado|demasiadas solicitudes|no se puede mostrar|mantenimiento código|no se ha encontrado|error interno|por mantenimiento
+something went wrong|an error occurred|an error has occurred|could not render|could not finish|could not complete|could not load|failed to load|try again later|try again in|request blocked|connection refused|connection timed out|connection failed|stack trace|null reference|nullreference|error 0|oops
+could not connect|cannot connect|unable to connect|connect to database|database error|query failed|fatal error|syntax error|out of memory|segmentation fault|no such file|timed out|deadline exceeded|host unreachable|errno 0|uncaught exception|access to this page|has been blocked|too busy|overloaded|rate limit exceeded|we ll be back|be right back
+zugriff verweigert|nicht gefunden werden|nicht gefunden|ist ein fehler aufgetreten|fehler aufgetreten|fehler 0|nicht verfügbar|wartungsarbeiten|sitzung ist abgelaufen|sitzung abgelaufen|erneut versuchen|versuchen sie es|kann nicht angezeigt werden|konnte nicht geladen werden|zu viele anfragen|interner serverfehler|keine verbindung|verbindung zur datenbank|zeitüberschreitung|vorübergehend nicht|nicht erreichbar|seite existiert nicht|technischer fehler
+accès refusé|page introuvable|introuvable|erreur 0|indisponible|erreur est survenue|erreur s est produite|session a expiré|trop de requêtes|réessayez|veuillez réessayer|en maintenance|ne peut pas être affichée|n existe plus|erreur interne|n a pas pu être|connexion impossible|impossible de se connecter|base de données|délai dépassé|erreur technique|page demandée
+acceso denegado|no se encontró|error 0|no disponible|se ha producido un error|ha ocurrido un error|vuelve a intentarlo|inténtalo de nuevo|sesión ha caducado|sesión ha expirado|demasiadas solicitudes|no se puede mostrar|mantenimiento código|no se ha encontrado|error interno|por mantenimiento|no se pudo conectar|base de datos|tiempo de espera agotado|error técnico|página solicitada|no se pudo cargar|no existe
 """.strip()
 FILLER_PHRASES = """
-dummy text|placeholder for|placeholder text|sample paragraph|sample text|body copy goes here|text goes here|copy goes here|content goes here|description goes here|description to follow|details to follow|text to follow|to be added|to be completed|insert text here|your text here|replace before going live|coming soon|add text here|enter text here
-blindtext|beschreibung folgt|text folgt|platzhalter|platzhaltertext|beispieltext|mustertext|hier steht später|text einfügen|inhalt folgt|hier kommt der text|fülltext
-texte factice|texte ici|votre texte|faux texte|texte de remplissage|texte à venir|description à venir|texte provisoire|contenu à venir|insérez votre texte|ici le texte
-texto de relleno|aquí va el texto|texto de ejemplo|texto provisional|descripción próximamente|texto aquí|tu texto|inserte texto|contenido próximamente|texto pendiente
+dummy text|placeholder for|placeholder text|sample paragraph|sample text|body copy goes here|text goes here|copy goes here|content goes here|description goes here|description to follow|details to follow|text to follow|to be added|to be completed|insert text here|your text here|replace before going live|coming soon|add text here|enter text here|description pending|description here|no description yet|to be announced|to be confirmed|work in progress
+blindtext|beschreibung folgt|text folgt|platzhalter|platzhaltertext|beispieltext|mustertext|hier steht später|text einfügen|inhalt folgt|hier kommt der text|fülltext|beschreibung fehlt|wird noch ergänzt|wird nachgereicht|in bearbeitung|text kommt
+texte factice|texte ici|votre texte|faux texte|texte de remplissage|texte à venir|description à venir|texte provisoire|contenu à venir|insérez votre texte|ici le texte|description en attente|à compléter|en cours de rédaction|contenu ici|bientôt disponible
+texto de relleno|aquí va el texto|texto de ejemplo|texto provisional|descripción próximamente|texto aquí|tu texto|inserte texto|contenido próximamente|texto pendiente|descripción pendiente|contenido pendiente|por completar|en construcción|muy pronto
 """.strip()
 #: Words that such passages are made of; they help to cover a sentence but tell nothing by themselves.
 SUPPORT_WORDS = """
@@ -54,10 +55,10 @@ a an and or the to of in on at by for from with this that these it its is are wa
 please enable allow activate turn switch reload refresh retry continue return go back try see view read open opening show shown display load loading complete finish render answer respond wait support block blocked expired moved removed taken away
 javascript cookies script scripts scripting browser browsers page pages site website app application window tab network server servers service request requests requested response connection session system security ticket reference code line error errors status upstream gateway timeout bad
 job jobs posting vacancy vacancies advert ad listing offer offers role roles position careers career portal search results content text section duties layout preview paragraph sample live going replace sign signed in human verify checking asked seconds minutes hours happens nothing something went wrong tried sorry oops permission ask exist exists url address link
-at render postingview nullreference exception unhandled html body http https www 0 menu home saved alerts skip terms privacy help
-bitte sie es um zu die der das den dem diese dieser dieses ist sind wird werden wurde kann konnte nicht ein eine einen und oder für ihr ihre ihrem auf in bis von zur zum später erneut minuten sekunden uhr zurzeit dienst seite stellenanzeige anzeige stelle stellentext text sehen laden lässt sich benötigt browser skripte fehler vorgang vorschau dies hier steht folgt anfrage neu führt aus
-veuillez pour afficher voir cette ce ces le la les un une de des du d l n à en et ou est pas ne sans votre vos page offre offres poste texte pour maquette ceci ici fonctionne navigateur service momentanément erreur code réessayer dans minutes plus tard bloque nécessaires lire recharger la
-para ver la el los las un una de del que es este esta esto en no se por favor tu su página oferta ofertas puesto texto maqueta aquí va navegador servicio código minutos segundos necesita mostrar puede intentarlo vuelve más tarde y o recarga leer solicitud
+at render postingview nullreference exception unhandled connect database postings errno host memory file line php uncaught fatal warning busy api query sql html body http https www 0 menu home saved alerts skip terms privacy help
+bitte sie es um zu die der das den dem diese dieser dieses ist sind wird werden wurde kann konnte nicht ein eine einen und oder für ihr ihre ihrem auf in bis von zur zum später erneut minuten sekunden uhr zurzeit dienst seite stellenanzeige anzeige stelle stellentext text sehen laden lässt sich benötigt browser skripte fehler verbindung datenbank beschreibung inhalt vorgang vorschau dies hier steht folgt anfrage neu führt aus
+veuillez pour afficher voir cette ce ces le la les un une de des du d l n à en et ou est pas ne sans votre vos page offre offres poste texte pour maquette ceci ici fonctionne navigateur service momentanément erreur code réessayer dans minutes plus tard bloque nécessaires lire recharger base données connexion description contenu la
+para ver la el los las un una de del que es este esta esto en no se por favor tu su página oferta ofertas puesto texto maqueta aquí va navegador servicio código minutos segundos necesita mostrar puede intentarlo vuelve más tarde y o recarga leer solicitud conectar base datos descripción contenido
 """.strip()
 #: Words of the customary filler in Latin.
 LATIN = set(
@@ -71,7 +72,7 @@ SLOT_WORDS = set(
     "empresa nombre puesto nombredelpuesto departamento ubicacion lugar ciudad salario sueldo fecha inicio fechadeinicio contacto correo responsable turno horario".split()
 )
 #: Words that tell whoever fills in a template to do so.
-FILL_WORDS = set("insert add enter your todo tbd tbc fill put type here replace hier einfugen eintragen ihr ihre erganzen inserer ajouter votre saisir completer insertar anadir su tu introducir rellenar completar".split())
+FILL_WORDS = set("insert add enter your todo tbd tbc fill put type here replace please specify provide bitte angeben veuillez indiquer indique indicar hier einfugen eintragen ihr ihre erganzen inserer ajouter votre saisir completer insertar anadir su tu introducir rellenar completar".split())
 #: In a sentence with one of these, marks are what the sentence is about.
 TALK = re.compile(
     r"\b(?:templates?|snippets?|placeholders?|modules?|marks?|tags? such|log call|syntax|variables?|mustache|brackets?|our stack|tokens?|merge fields?|vorlagen?|platzhaltern?|modèles?|balises?|gabarits?|plantillas?|marcadores|etiquetas como|faults?|bugs?)\b",
@@ -89,8 +90,8 @@ _STRONG = re.compile(
     r"|<<\s*(?P<s6>[^<>]{1,60}?)\s*>>|«\s*(?P<s7>\w{2,60})\s*»|%\(\s*(?P<s8>\w{1,60})\s*\)[sdif]|\*\|\s*(?P<s9>[\w:]{1,60})\s*\|\*|@@\s*(?P<s10>\w{1,60})\s*@@|@Model\.(?P<s11>\w{1,60})"
     r"|(?<![\w%])%(?P<s12>[A-Z][A-Z0-9_]{1,60})%|(?<!\w)__(?P<s13>[A-Z][A-Z0-9_]{1,60}?)__(?!\w)|(?<![\w$])\$(?P<s14>[A-Z][A-Z0-9_]{1,60})\$|(?<![\w#])\#(?P<s15>[A-Z][A-Z0-9_]{1,60})\#|(?<![\w:]):(?P<s16>[A-Z][A-Z0-9_]{1,60}):"
 )
-_WEAK = re.compile(rf"\[\s*(?P<w1>{_NAME}(?::[^\[\]]{{0,40}})?)\s*\]|\(\s*(?P<w2>{_NAME})\s*\)|(?<![{{$])\{{\s*(?P<w3>{_NAME}|\d)\s*\}}|<\s*(?P<w4>{_NAME})\s*>|_{{4,}}")
-_BARE = re.compile(r"\[object Object\]|(?<!['\"‘“\w])undefined(?!['\"’”\w])(?! is\b)|\bXXXX+\b|(?<!\w)NaN(?!\w)")
+_WEAK = re.compile(rf"\[\s*(?P<w1>{_NAME}(?::[^\[\]]{{0,40}})?)\s*\]|\(\s*(?P<w2>{_NAME}(?::[^()]{{0,40}})?)\s*\)|(?<![{{$])\{{\s*(?P<w3>{_NAME}|\d)\s*\}}|<\s*(?P<w4>{_NAME}(?::[^<>]{{0,40}})?)\s*>|_{{4,}}")
+_BARE = re.compile(r"\[object Object\]|(?<!['\"‘“\w])undefined(?!['\"’”\w])(?! is not a\b)|\bXXXX+\b|(?<!\w)NaN(?!\w)")
 _SPLIT = re.compile(r"(?<=[.!?…])[\"'”»)]*\s+|\n+|\s[|·•]\s|\t+")
 _KEEP = re.compile(r"[^\W_]+")
 _ROWS = re.compile(r"^(?:[asdfghjklöäüñ]+|[qwertzyuiopü]+|[yxcvbnm]+)$")

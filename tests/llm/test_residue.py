@@ -5,12 +5,12 @@ from lodepath.llm import residue as R
 CASES = {
     "template": [
         "Dear {{ company_name }}, thank you.", "Join ${shift} as our next %(start_date)s.", "Pay: <%= salary %>.", "In [[location]] we work.", "Site: #SHIFT#.", "Hello *|FNAME|* and welcome", "As @@job_title@@ you",
-        "Nobody works <Insert start date> people.", "Nous (votre intitulé du poste) jours", "Wir suchen [ABTEILUNG] Kräfte", "busca (su departamento) en", "Pay: XXXXX.", "Join [object Object] now", "We need undefined trailers.",
+        "Nobody works <Insert start date> people.", "Nous (votre intitulé du poste) jours", "Wir suchen [ABTEILUNG] Kräfte", "busca (su departamento) en", "Pay: XXXXX.", "Join [object Object] now", "We need undefined trailers.", "Travel to undefined is possible.", "Kataloge, (bitte eintragen: stellenbezeichnung) und Ruhe", "<Bitte eintragen: abteilung>",
         "&lt;lieu&gt; recrute.", "Reports to: _______ (manager)", "is hiring a {job_title}!", "[TODO: contact email]", "@Model.Benefits", ":LOCATION: is near", "«JobTitle» gesucht", "__JOB_TITLE__", "$DEPARTMENT$", "{0} is hiring",
     ],
-    "filler": ["Lorem ipsum dolor sit amet consectetur", "Text. blah blah blah blah blah. More.", "This is dummy text for the layout preview.", "Beschreibung folgt.", "Aquí va el texto del puesto.", "jjklö fdsaj hjkl asdfj lkjh gfdsa hjkl"],
+    "filler": ["Lorem ipsum dolor sit amet consectetur", "Text. blah blah blah blah blah. More.", "This is dummy text for the layout preview.", "Beschreibung folgt.", "Aquí va el texto del puesto.", "Descripción pendiente.", "jjklö fdsaj hjkl asdfj lkjh gfdsa hjkl"],
     "script": ["Please enable JavaScript and cookies to continue.", "PLEASE ENABLE JAVASCRIPT TO VIEW THIS PAGE", "<noscript>You have to turn on JavaScript to read this job advert</noscript>", "Für diese Seite werden Skripte benötigt.", "Votre navigateur bloque les scripts nécessaires à cette page.", "Activa JavaScript para ver la oferta."],
-    "error": ["Real words here. 404 Not Found", "Access denied. You do not have permission to view /jobs/74.", "Zugriff verweigert (503).", "Erreur 504 : page introuvable.", "Se ha producido un error.", "Service Unavailable (503) upstream 6470fe4a did not answer within 10 seconds"],
+    "error": ["Real words here. 404 Not Found", "Access denied. You do not have permission to view /jobs/74.", "Zugriff verweigert (503).", "Erreur 504 : page introuvable.", "Se ha producido un error.", "Could not connect to database 'postings' on 4f281f87d79c1854 (errno 46)", "Service Unavailable (503) upstream 6470fe4a did not answer within 10 seconds"],
 }
 CLEAN = [
     None, "", " ", "<p></p>", "You will restyle the 404 page and write kinder 500 messages.", "Designers here swap lorem ipsum for real copy before anything ships.", "Solid JavaScript required, and please enable others to learn it from you.",
