@@ -20,7 +20,7 @@ from ..session import materialise, small_join
 
 # --- fixed values: customary short forms in job titles, and what they stand for ---
 SHORT_FORMS = {
-    "mgr": "manager", "mngr": "manager", "mgmt": "management", "eng": "engineer", "engr": "engineer", "dev": "developer", "devt": "development", "devel": "developer",
+    "mgr": "manager", "mngr": "manager", "mgmt": "management", "eng": "engineer", "engr": "engineer", "dev": "developer", "devt": "development", "devel": "developer development",
     "spec": "specialist", "assoc": "associate", "asst": "assistant", "ops": "operations", "mktg": "marketing", "mkt": "marketing", "fin": "financial", "exec": "executive",
     "supvr": "supervisor", "supv": "supervisor", "tech": "technician technologist technologic", "tchn": "technician technologist", "admin": "administrative administrator", "acct": "account accountant accounts",
     "rep": "representative", "coord": "coordinator", "sw": "software", "mech": "mechanical mechanic", "elec": "electrical", "maint": "maintenance", "prod": "product production",
@@ -28,7 +28,7 @@ SHORT_FORMS = {
     "proc": "process procurement", "dir": "director", "hr": "hr", "qa": "qa", "ml": "ml", "bi": "bi", "ui": "ui", "ux": "ux", "bus": "business", "biz": "business", "res": "research",
     "intl": "international", "lic": "licensed", "reg": "registered", "pract": "practical practitioner", "med": "medical", "phys": "physical", "occ": "occupational", "constr": "construction",
     "inv": "inventory", "whse": "warehouse", "wh": "warehouse", "sec": "security", "sys": "systems", "adj": "adjuster", "couns": "counsel counselor", "tchr": "teacher", "elem": "elementary",
-    "math": "mathematics", "maths": "mathematics", "recep": "receptionist", "soc": "social", "db": "database", "dba": "dba", "pm": "pm", "op": "operator operations", "opr": "operator", "mtce": "maintenance", "mfg": "manufacturing", "sr": "senior",
+    "math": "mathematics", "maths": "mathematics", "recep": "receptionist", "soc": "social", "db": "database", "dba": "dba", "pm": "pm", "op": "operator operations", "opr": "operator", "mtce": "maintenance", "mfg": "manufacturing", "splst": "specialist", "qual": "quality", "accts": "accounts", "oper": "operator",
 }
 #: The short forms of each word.
 FORMS_OF: dict[str, list[str]] = {}
@@ -54,16 +54,19 @@ def _camel(s: str) -> str:
     return re.sub(r"(?<=[a-zà-ÿ]{2})(?=[A-ZÀ-Þ][a-zà-ÿ])", " ", s)
 
 
-def value_tokens(value: str) -> list[tuple[str, bool]]:
-    """(token, in the head) of a value; neighbours joined to one word are added. The head ends where place or employer begin."""
+def value_tokens(value: str) -> list[str]:
+    """Tokens of a value's head; neighbours joined to one word are added.
+
+    The head ends where place or employer begin; a value that has nothing before them is head as a whole.
+    """
     s = unicodedata.normalize("NFKC", value)
     head, out = TAIL.sub(" ", s), {}
-    for part, is_head in ((head, True), (s, False)):
-        for form in {part, _camel(part)}:
-            ts = tokens(form)
-            for t in [*ts, *(a + b for a, b in zip(ts, ts[1:], strict=False))]:
-                out.setdefault(t, is_head)
-    return list(out.items())
+    if not tokens(head):
+        head = s
+    for form in {head, _camel(head)}:
+        ts = tokens(form)
+        out |= dict.fromkeys([*ts, *(a + b for a, b in zip(ts, ts[1:], strict=False))])
+    return list(out)
 
 
 def allowed(length: int) -> int:
@@ -159,9 +162,9 @@ def _explode_values(batches):
     for batch in batches:
         out = []
         for v in batch.column(0).to_pylist():
-            out += [(v, t, h) for t, h in value_tokens(v)]
-        cols = list(zip(*out, strict=True)) if out else [[], [], []]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.bool_()), strict=True)], names=["value", "token", "head"])
+            out += [(v, t) for t in value_tokens(v)]
+        cols = list(zip(*out, strict=True)) if out else [[], []]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], names=["value", "token"])
 
 
 def _variants(rows):
@@ -194,19 +197,14 @@ def map_values(values: DataFrame, column: str, reference: DataFrame, entry: str,
     distinct = values.select(F.col(column).alias("value")).filter("value is not null").distinct()
     # a number of partitions that is not merged away: cutting is slow, though the values are small
     parted = distinct.repartition(int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")), "value")
-    cut = materialise(parted.mapInArrow(_explode_values, "value string, token string, head boolean"))
+    cut = materialise(parted.mapInArrow(_explode_values, "value string, token string"))
     matches = materialise(match_tokens(cut.select("token").distinct(), parts.select("word").distinct()))
-    met = small_join(cut, matches, ["token"]).groupBy("value", "word").agg(F.max(F.when(F.col("head"), F.col("sim"))).alias("in_head"), F.max("sim").alias("anywhere"))
+    met = small_join(cut, matches, ["token"]).groupBy("value", "word").agg(F.max("sim").alias("sim"))
     hits = small_join(met, parts, ["word"])
     scored = hits.groupBy("value", "entry", "variant", "size").agg(
-        *[F.count(c).alias(f"n_{c}") for c in ("in_head", "anywhere")],
-        *[F.max(c).alias(f"best_{c}") for c in ("in_head", "anywhere")],
-        *[(F.sum(F.pow("idf", 2) * F.col(c)) / F.sqrt(F.sum(F.pow("idf", 2)))).alias(f"score_{c}") for c in ("in_head", "anywhere")],
-    )
-    # complete entries, those of the head first; an abbreviation alone names nothing
-    complete = lambda c: (F.col(f"n_{c}") == F.col("size")) & (F.col(f"best_{c}") > 0.6)
-    ranked = scored.filter(complete("anywhere")).select(
-        "value", "entry", F.when(complete("in_head"), F.lit(1)).otherwise(0).alias("head"), F.when(complete("in_head"), F.col("score_in_head")).otherwise(F.col("score_anywhere")).alias("score")
+        F.count(F.lit(1)).alias("n"), F.max("sim").alias("best"), (F.sum(F.pow("idf", 2) * F.col("sim")) / F.sqrt(F.sum(F.pow("idf", 2)))).alias("score")
     )
-    best = ranked.groupBy("value").agg(F.max(F.struct("head", "score", (-F.col("entry")).alias("minus"))).alias("b"))
+    # complete entries; a guessed abbreviation alone names nothing
+    ranked = scored.filter((F.col("n") == F.col("size")) & ((F.col("best") > 0.6) | (F.col("size") > 1)))
+    best = ranked.groupBy("value").agg(F.max(F.struct("score", (-F.col("entry")).alias("minus"))).alias("b"))
     return distinct.join(best, "value", "left").select("value", (-F.col("b.minus")).alias("entry"), F.col("b.score").alias("score"))

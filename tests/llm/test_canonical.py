@@ -7,7 +7,7 @@ REFERENCE = [
     (6, "Human Resources Manager", '["HR Manager"]'), (7, "Embedded Systems Engineer", None), (8, "Cashier", None), (9, "Business Development Manager", '["BDM"]'), (10, "Maintenance Technician", None), (11, "Cashier", None),
 ]
 CASES = {
-    "Software Engineer": 1, "Sr. Softwae Enigneer (m/w/d)": 1, "engineer,  software - Remote": 1, "SWE II": 1, "ingenieur logiciel": 1, "Software-Eng. at Pastry Chef House": 1, "forkliftoperator": 2, "ForkliftOp": 2,
+    "Software Engineer": 1, "Sr. Softwae Enigneer (m/w/d)": 1, "engineer,  software - Remote": 1, "SWE II": 1, "ingenieur logiciel": 1, "Software-Eng. at Pastry Chef House": 1, "Ski Patroller at Sales Manager Analytics": None, "- Cashier": 8, "Bus. Dveel. Mgr": 9, "Mtc. Tecch.": 10, "forkliftoperator": 2, "ForkliftOp": 2,
     "konditor *URGENT*": 3, "Zookeeper": None, "Beekkeeper": None, "Manager, Sales": 5, "HR\xa0MANAGER": 6, "snr embeddedsystemsengr": 7, "Cashier #12": 8, "Business Dev't Manager": 9, "Mtce. Tech": 10,
     "test do not publish": None, "": None, "???": None, "Manager": None, "x" * 3000: None,
 }
