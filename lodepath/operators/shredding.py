@@ -224,14 +224,15 @@ def _find_objects(blobs: list[str]):
 
     def run(batches):
         for batch in batches:
-            out = []
-            ids = batch.column(0).to_pylist()
-            for k, blob in enumerate(blobs, 1):
-                for i, text in zip(ids, batch.column(k).to_pylist(), strict=True):
-                    for row in objects(shred(text, leaves=False) or ()):
-                        out.append((i, blob, *row))
-            cols = list(zip(*out, strict=True)) if out else [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, schema.types, strict=True)], schema=schema)
+            for start in range(0, batch.num_rows, 1000):  # few texts at once are Python objects
+                out = []
+                ids = batch.column(0).slice(start, 1000).to_pylist()
+                for k, blob in enumerate(blobs, 1):
+                    for i, text in zip(ids, batch.column(k).slice(start, 1000).to_pylist(), strict=True):
+                        for row in objects(shred(text, leaves=False) or ()):
+                            out.append((i, blob, *row))
+                cols = list(zip(*out, strict=True)) if out else [[]] * 6
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, schema.types, strict=True)], schema=schema)
 
     return run
 
