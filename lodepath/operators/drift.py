@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..errors import IngestError
 from ..functions.jsontext import canonical, comparable, parse_exact, types
-from ..session import materialise
+from ..session import materialise, spread
 
 #: Renames that may be followed when names are unified; schemas, not rows, bound their number.
 MAX_RENAMES = 10_000
@@ -73,7 +73,7 @@ def load_fields(df: DataFrame, row: str, feed: str, drop: str, text: str, parent
     """
     raw = df.select(F.col(row).cast("long").alias("row"), F.col(feed).cast("long").alias("feed"), F.col(drop).cast("long").alias("drop"), F.col(text).cast("string").alias("text"))
     kinds = "row long, feed long, drop long, id string, path string, level string, types array<string>, digest string, value string"
-    out = raw.mapInArrow(_load(parents, id_field, values), kinds)
+    out = spread(raw).mapInArrow(_load(parents, id_field, values), kinds)
     return out if values else out.drop("value")
 
 

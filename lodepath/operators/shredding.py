@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.jsontext import Number, parse_exact, unwrap
-from ..session import materialise, small_join
+from ..session import materialise, small_join, spread
 
 ARRAY, LONE, LEAF = "[]", "{}", ""
 #: Marks, within emitted paths, that the step before is a lone object. A record separator: no name holds it.
@@ -274,7 +274,7 @@ def found_objects(df: DataFrame, id_col: str, blobs: list[str]) -> DataFrame:
     no rows. Repeated ids give repeated rows. A lone object in a field that holds arrays of objects in
     other rows counts as [0].
     """
-    raw = df.select(F.col(id_col).cast("long").alias("id"), *[F.col(b).cast("string") for b in blobs]).mapInArrow(_find_objects(blobs), _OBJECTS)
+    raw = spread(df.select(F.col(id_col).cast("long").alias("id"), *[F.col(b).cast("string") for b in blobs])).mapInArrow(_find_objects(blobs), _OBJECTS)
     return _resolved(materialise(raw), ["path"]).filter(F.col("element") | F.col("last")).select("id", "blob", "path")
 
 
@@ -347,7 +347,7 @@ def flat_tables(df: DataFrame, id_col: str, blobs: list[str]) -> DataFrame:
     its parent's row, id to the row of df. fields maps names to JSON text. select_level() makes typed tables.
     Incomplete JSON and nulls have no rows. A name repeated within an object keeps its last value.
     """
-    raw = df.select(F.col(id_col).cast("long").alias("id"), *[F.col(b).cast("string") for b in blobs]).mapInArrow(
+    raw = spread(df.select(F.col(id_col).cast("long").alias("id"), *[F.col(b).cast("string") for b in blobs])).mapInArrow(
         _find_rows(blobs),
         "id long, blob string, path string, parent_path string, level string, chain string, element boolean, marks array<string>, fields map<string,string>",
     )

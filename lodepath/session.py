@@ -76,6 +76,19 @@ def materialise(df: DataFrame, keep: list[str] | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df in at least as many partitions as there are cores, for work that costs far more than moving the rows.
+
+    Only a plain scan of few partitions is moved: small or unsplittable files. Anything larger, and any plan with a
+    shuffle of its own, stays as it is.
+    """
+    want = df.sparkSession.sparkContext.defaultParallelism
+    execution = df._jdf.queryExecution()
+    if "Exchange" in execution.executedPlan().toString() or execution.toRdd().getNumPartitions() >= want:
+        return df
+    return df.repartition(want)
+
+
 def fits(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     """Whether df has at most so many rows; reads no more than rows + 1 of them."""
     return df.limit(rows + 1).count() <= rows

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..schema import JOBS
+from ..session import spread
 from .validate import process
 
 SUFFIX = ".json.gz"
@@ -59,8 +60,8 @@ def _parse(keys: int):
 
 
 def parse_content(files: DataFrame, keys: list[str], content: str = "content") -> DataFrame:
-    """(keys..., row, error): each file's flat row, or why it has none; a null content is an error. No shuffle."""
+    """(keys..., row, error): each file's flat row, or why it has none; a null content is an error. No shuffle, unless the scan has fewer partitions than there are cores."""
     own = files.select(*keys, content)
     kinds = dict(own.dtypes)
     schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", row struct<" + ",".join(f"`{f.name}`:{f.dataType.simpleString()}" for f in JOBS) + ">, error string"
-    return own.mapInArrow(_parse(len(keys)), schema)
+    return spread(own).mapInArrow(_parse(len(keys)), schema)
