@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
 from .words import WORD, visible
 
 #: Words of text in a shard, which bounds a task's memory; a longer document is cut with overlap.
@@ -227,7 +228,7 @@ def leaks(documents: DataFrame, id_col: str, text: str, items: DataFrame, item_c
     the documents without a shuffle for each ITEM_BYTES of items, which are all that is broadcast.
     """
     sc = documents.sparkSession.sparkContext
-    docs = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
+    docs = spread(documents.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text")))
     own = items.select(F.col(item_col).cast("long").alias("item"), F.coalesce(item_text, F.lit("")).alias("text"))
     size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     passes = int(size // ITEM_BYTES) + 1

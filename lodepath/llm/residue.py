@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 #: Share of a sentence's letters and digits that matches must cover.
 COVERAGE = 0.8
 
@@ -267,4 +269,4 @@ def find_residue(df: DataFrame, id_col: str, text: str) -> DataFrame:
 
     One pass, no shuffle. Null and empty texts hold none; other columns of df are not read; repeated ids give repeated rows.
     """
-    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text)).mapInArrow(_find, "id long, kinds array<string>, passages array<string>, coverage double")
+    return spread(df.select(F.col(id_col).cast("long").alias("id"), F.col(text))).mapInArrow(_find, "id long, kinds array<string>, passages array<string>, coverage double")
