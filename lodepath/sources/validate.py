@@ -7,12 +7,12 @@ document; unknown fields are accepted. The columns of blobs are serialised with
 from __future__ import annotations
 
 import json
+import math
 import re
 import zlib
 from datetime import datetime
 from decimal import Decimal
 
-from ..functions.jsontext import Number
 from ..schema import ENRICHED, JOB, JOB_INFORMATION, PROCESSED, fields
 
 _DATE = re.compile(r"^(\d{4})-(\d{2})-(\d{2})[Tt ](\d{2}):(\d{2}):(\d{2})(?:\.(\d+))?\s*(?:([Zz])|([+-])(\d{2}):?(\d{2}))$")
@@ -52,11 +52,12 @@ def _constant(x):
     raise Invalid(f"expected value, found {x}")
 
 
-_decoder = json.JSONDecoder(object_pairs_hook=_object, parse_float=Number, parse_int=Number, parse_constant=_constant)
+_decoder = json.JSONDecoder(object_pairs_hook=_object, parse_constant=_constant)
+_encode = json.JSONEncoder(ensure_ascii=False, separators=(",", ":")).encode
 
 
 def _kind_of(v) -> str:
-    return {str: "string", bool: "boolean", Number: "number", list: "sequence", _Object: "map"}.get(type(v), "null")
+    return {str: "string", bool: "boolean", int: "number", float: "number", list: "sequence", _Object: "map"}.get(type(v), "null")
 
 
 def _wrong(name: str, v, want: str) -> Invalid:
@@ -64,7 +65,8 @@ def _wrong(name: str, v, want: str) -> Invalid:
 
 
 def _whole(v) -> bool:
-    return isinstance(v, Number) and v.text.lstrip("-").isdigit() and -(2**63) <= int(v.text) < 2**63
+    """A number written without fraction and exponent, in 64 bits."""
+    return type(v) is int and -(2**63) <= v < 2**63
 
 
 def date_parts(text: str):
@@ -102,15 +104,17 @@ def _value(name: str, kind: str, v):
         if not isinstance(v, str):
             raise _wrong(name, v, "a string")
     elif low == "n":
-        if not isinstance(v, Number):
+        if type(v) not in (int, float):
             raise _wrong(name, v, "a number")
-        v = float(v.text)
-        if v in (float("inf"), float("-inf")):
+        try:
+            v = float(v)
+        except OverflowError:
+            v = math.inf
+        if math.isinf(v):
             raise Invalid(f"number out of range for field `{name}`")
     elif low == "i":
         if not _whole(v):
             raise _wrong(name, v, "a whole number")
-        v = int(v.text)
     elif low == "b":
         if not isinstance(v, bool):
             raise _wrong(name, v, "a boolean")
@@ -130,20 +134,28 @@ def _value(name: str, kind: str, v):
             return v
         if not _whole(v):
             raise _wrong(name, v, "a string or whole number")
-        return str(int(v.text))
+        return str(v)
     return v
 
 
 def _record(owner, spec: list[tuple[str, str]], where: str) -> dict:
     if not isinstance(owner, _Object):
         raise _wrong(where, owner, "an object")
-    out = {}
+    out, get, repeated = {}, owner.get, owner.repeated
     for name, kind in spec:
-        if name in owner.repeated:
+        v = get(name)
+        if repeated and name in repeated:
             raise Invalid(f"duplicate field `{name}`")
-        if name not in owner and kind.isupper():
-            raise Invalid(f"missing field `{name}`")
-        out[name] = _value(name, kind, owner.get(name))
+        if v is None:
+            if kind.isupper() and name not in owner:
+                raise Invalid(f"missing field `{name}`")
+        elif kind in "sS" and type(v) is str or kind in "bB" and type(v) is bool:
+            out[name] = v
+            continue
+        elif kind == "n" and type(v) is float and v == v and abs(v) != math.inf:
+            out[name] = v
+            continue
+        out[name] = _value(name, kind, v)
     return out
 
 
@@ -177,20 +189,16 @@ def number_text(x: float) -> str:
     return ("-" if sign else "") + out
 
 
+def _odd(v) -> bool:
+    """Whether a double's text differs from Python's."""
+    return type(v) is float and v != 0 and not 1e-4 <= abs(v) < 1e16
+
+
 def _blob(values: dict, spec: list[tuple[str, str]], skip: str = "") -> str:
-    parts = []
-    for name, kind in spec:
-        v = values[name]
-        if name == skip:
-            continue
-        if kind == "n" and v is not None:
-            text = number_text(v)
-        elif kind == "d" and v is not None:
-            text = json.dumps(render_date(v, True))
-        else:
-            text = json.dumps(v, ensure_ascii=False, separators=(",", ":"))
-        parts.append(f"{json.dumps(name)}:{text}")
-    return "{" + ",".join(parts) + "}"
+    out = {name: render_date(values[name], True) if kind == "d" and values[name] is not None else values[name] for name, kind in spec if name != skip}
+    if not any(map(_odd, out.values())):
+        return _encode(out)
+    return "{" + ",".join(f"{_encode(name)}:{number_text(v) if type(v) is float else _encode(v)}" for name, v in out.items()) + "}"
 
 
 def parse_page(data: bytes) -> dict:
@@ -227,7 +235,6 @@ def parse_page(data: bytes) -> dict:
         raise Invalid("parse/validate: recursion limit exceeded") from e
     except ValueError as e:  # Invalid, bad JSON, bad UTF-8
         raise Invalid(f"parse/validate: {e}") from e
-    compact = lambda v: json.dumps(v, ensure_ascii=False, separators=(",", ":"))
     date = v5["estimated_publish_date"]
     taken = ("core_job_title", "job_category", "seniority_level", "role_type", "workplace_type", "formatted_workplace_location")
     paid = ("min_industry_and_role_yoe", "yearly_min_compensation", "yearly_max_compensation", "listed_compensation_currency")
@@ -235,9 +242,9 @@ def parse_page(data: bytes) -> dict:
         **{c: job[c] for c in ("id", "source", "board_token", "apply_url", "requisition_id", "collapse_key", "is_expired")},
         **{c: info[c] for c in ("title", "job_title_raw", "description")},
         **{c: v5[c] for c in taken},
-        "workplace_countries": compact(v5["workplace_countries"]),
+        "workplace_countries": _encode(v5["workplace_countries"]),
         **{c: v5[c] for c in paid},
-        "technical_tools": compact(v5["technical_tools"]),
+        "technical_tools": _encode(v5["technical_tools"]),
         "estimated_publish_date": None if date is None else render_date(date, False),
         "company_name": v5["company_name"],
         "company_website": v5["company_website"],
