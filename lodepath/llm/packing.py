@@ -59,7 +59,7 @@ def pieces(df: DataFrame, id_col: str, size, capacity: int) -> DataFrame:
 
 
 def _pack(capacity: int):
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key, pdf):
         # an order that does not depend on how rows arrived and has no trend in it
         pdf = pdf.sort_values(["order", "box"], ignore_index=True)
         box, offset = sum_of_squares(pdf["size"].to_numpy(np.int64), capacity)
