@@ -19,8 +19,8 @@ break all combinations of a group with m tokens, m - k + 1 of them must be missi
 m - k + 1 towards what a prefix needs, and it is extended until it has d + c. A pair within the threshold
 then shares at least c signatures for certain. At low thresholds this indexes several times as much.
 
-Frequencies come from a sketch of fixed size (one count for each of 2^20 hash buckets, over all records);
-it only steers how far combinations are extended, which must agree between records but need not be exact.
+Frequencies come from a sketch of fixed size (one count for each of 2^20 hash buckets, over one record of
+each class: copies do not make a token frequent); it only steers how far combinations are extended, which must agree between records but need not be exact.
 Texts are read once more for each step that needs their tokens, which costs less than moving them.
 """
 
@@ -57,9 +57,22 @@ def _bucket(tokens: np.ndarray) -> np.ndarray:
 
 
 def _first_pass(k: int):
-    """Digest and size of each record's set, then, once for each task, its blocks of the frequency sketch."""
-    schema = pa.schema([("id", pa.int64()), ("key", pa.binary()), ("n", pa.int32()), ("block", pa.int32()), ("counts", pa.binary())])
-    kinds = schema.types
+    """Digest and size of each record's set."""
+
+    def run(batches):
+        hasher = Hasher()
+        for batch in batches:
+            for start in range(0, batch.num_rows, 2000):
+                sets = [_tokens(hasher, x, k) for x in batch.column(1).slice(start, 2000).to_pylist()]
+                keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
+                cols = [batch.column(0).slice(start, len(sets)), pa.array(keys, pa.binary()), pa.array([len(s) for s in sets], pa.int32())]
+                yield pa.RecordBatch.from_arrays(cols, names=["id", "key", "n"])
+
+    return run
+
+
+def _sketch(k: int):
+    """Once for each task, its blocks of the frequency sketch of the records given: one of each class, so that copies do not count."""
 
     def run(batches):
         hasher, counts, any_row = Hasher(), np.zeros(1 << SKETCH_BITS, np.uint32), False
@@ -68,14 +81,9 @@ def _first_pass(k: int):
                 sets = [_tokens(hasher, x, k) for x in batch.column(1).slice(start, 2000).to_pylist()]
                 any_row = True
                 counts += np.bincount(_bucket(np.concatenate(sets)), minlength=1 << SKETCH_BITS).astype(np.uint32)
-                keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-                n = len(sets)
-                cols = [batch.column(0).slice(start, n), pa.array(keys, kinds[1]), pa.array([len(s) for s in sets], kinds[2]), pa.nulls(n, kinds[3]), pa.nulls(n, kinds[4])]
-                yield pa.RecordBatch.from_arrays(cols, schema=schema)
         if any_row:
             blocks = [x.tobytes() for x in np.split(counts, SKETCH_BLOCKS)]
-            m = len(blocks)
-            yield pa.RecordBatch.from_arrays([pa.nulls(m, kinds[0]), pa.nulls(m, kinds[1]), pa.nulls(m, kinds[2]), pa.array(range(m), kinds[3]), pa.array(blocks, kinds[4])], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(blocks)), pa.int32()), pa.array(blocks, pa.binary())], names=["block", "counts"])
 
     return run
 
@@ -369,15 +377,14 @@ def near_duplicates(df: DataFrame, id_col: str, text: Column, k: int = 5, thresh
     """
     spark = df.sparkSession
     texts = spread(df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text, F.lit("")).alias("text")))
-    first = materialise(texts.mapInArrow(_first_pass(k), "id long, key binary, n int, block int, counts binary"))
-    rows = first.filter("block is null").select("id", "key", "n")
+    rows = materialise(texts.mapInArrow(_first_pass(k), "id long, key binary, n int"))
     classes = rows.filter("n > 0").groupBy("key").agg(F.min("id").alias("class_id"))
     members = materialise(rows.join(classes, "key", "left").select("id", F.coalesce("class_id", "id").alias("class_id"), "n"))
     count, low, high = members.filter("n > 0 and id = class_id").agg(F.count(F.lit(1)), F.min("n"), F.max("n")).first()
     bands = (schemes(low, high, threshold) if count else []) if exact else None
-    counts = spark.sparkContext.broadcast(_sum_sketch(first.filter("block is not null").select("block", "counts")))  # 4 MB, fixed
     copies = members.filter("n = 0 or id <> class_id").select("id")
     own = small_join(texts, copies, ["id"], "left_anti", BROADCAST_IDS)
+    counts = spark.sparkContext.broadcast(_sum_sketch(materialise(own.mapInArrow(_sketch(k), "block int, counts binary"))))  # 4 MB, fixed
     # One exchange serves both sides of the join: the condition on the left role also names the right one, so that it is
     # tested in the join and not pushed below the exchange, where it would make two of it.
     sigs = own.mapInArrow(_emit(k, counts, count, threshold, bands), "sig long, id long, role int")

@@ -77,6 +77,21 @@ def test_hot_group_of_copies(spark):
     assert got.members.filter("class_id = 0").count() == 200
 
 
+def test_edited_versions_of_a_text_that_fills_a_third_of_the_rows(spark):
+    r = random.Random(8)
+    text = [f"c{i}" for i in range(232)]
+    edited = []
+    for changes in (6, 9, 12, 15, 16, 17, 18, 19):  # a changed word changes three runs of 3: J to the text from 0.85 to 0.6
+        ws = list(text)
+        for at in r.sample(range(0, 232, 3), changes):
+            ws[at] = f"e{changes}x{at}"
+        edited.append(" ".join(ws))
+    others = [" ".join(f"o{r.randrange(10**6)}" for _ in range(230)) for _ in range(250)]
+    texts = [" ".join(text)] * 130 + edited + others
+    got = N.near_duplicates(frame(spark, texts), "row", F.col("text"), 3, 0.6)
+    assert {tuple(x) for x in got.pairs().collect()} == brute(texts, 3, 0.6)
+
+
 @pytest.mark.parametrize("exact", [False, True])
 def test_empty_table(spark, exact):
     got = N.near_duplicates(frame(spark, ["x"]).limit(0), "row", F.col("text"), 3, 0.6, exact)
