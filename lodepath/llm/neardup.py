@@ -9,8 +9,11 @@ dealt (the default): several times over, tokens are dealt into groups by a hash
 signature is its first tokens in hash order, extended until the combination is expected in less than RARE
 records: a rare token stands alone, frequent ones are joined by a second, a third and so on; a group that
 runs out of tokens ends its signature with a mark. Two records agree on a combination of k tokens with a
-probability of about J^k, whatever the edits were, so with SIGNATURES = 96 a pair at J = 0.6 has less than
-SHARED = 3 in common with a probability of 3e-8 for k = 3 and 2e-4 for k = 4; at 0.65 it is 1e-6 for k = 4.
+probability of about J^k. k grows with the logarithm of the records and with the tokens' frequency, so the number of
+signatures is chosen for each record (see wanted_signatures): as many as keep the chance that a pair at the
+threshold shares less than SHARED of them within MISS, whichever tokens were edited. Records that would need
+more than MOST, and those so short that a partner may have less than LARGE tokens, are also indexed by the exact
+scheme; a pair that the dealt signatures of both records do not bound has two such records.
 
 exact: all tokens have one global order, rare ones first, and a record's prefix is the start of its tokens.
 A record within the threshold can miss at most d of them. Tokens of a rare class are indexed by themselves;
@@ -28,6 +31,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,9 +42,11 @@ from ..session import materialise, small_join, spread
 from .words import Hasher, mix, plain, runs, words
 
 SKETCH_BITS, SKETCH_BLOCKS = 20, 64
-#: dealt: records in which a combination is expected; signatures of a record; how many a pair must share; tokens in a group, so that few groups run out.
+#: dealt: records in which a combination is expected; signatures of a record at least; how many a pair must share; tokens in a group, so that few groups run out.
 RARE, SIGNATURES, SHARED, GROUP = 0.1, 96, 3, 8
-#: Records with fewer tokens need share one signature only: their sets are cheap to verify.
+#: dealt: chance to miss a pair at the threshold, at most; signatures of a record up to which more of them are taken; cells of a combination's log share.
+MISS, MOST, CELLS = 1e-5, 512, 48
+#: Pairs whose smaller record has fewer tokens are found by the exact scheme alone.
 LARGE = 64
 #: exact: a token in at most so many records is indexed by itself; signatures that a pair shares at least, where records are long enough.
 SINGLE, NEED = 8, 8
@@ -207,12 +213,80 @@ def signatures(tokens: np.ndarray, sizes: np.ndarray, counts: np.ndarray, classe
     return cat(out_rec, np.int64), cat(out_sig, np.uint64), cat(out_small, bool)
 
 
-def dealt_signatures(tokens: np.ndarray, sizes: np.ndarray, counts: np.ndarray, records: int, threshold: float):
+def _exactly(i: int, n: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Chance of i hits in n trials."""
+    ways = np.prod([(n - j) / (j + 1) for j in range(i)], axis=0) if i else 1.0
+    return ways * p**i * (1 - p) ** (n - i)
+
+
+@lru_cache
+def _least_chances() -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of signatures, falling, and the chance to agree on one with which so many miss a pair with MISS at most."""
+    numbers = np.arange(MOST, SIGNATURES - 1, -GROUP)
+    low, high = np.zeros(len(numbers)), np.ones(len(numbers))
+    for _ in range(60):
+        p = (low + high) / 2
+        missed = sum(_exactly(i, numbers, p) for i in range(SHARED))
+        low, high = np.where(missed > MISS, p, low), np.where(missed > MISS, high, p)
+    return numbers, high
+
+
+def agreement(tokens: np.ndarray, sizes: np.ndarray, counts: np.ndarray, records: int, threshold: float) -> np.ndarray:
+    """For each record, the least chance that a partner at the threshold or above agrees on a dealt signature.
+
+    The worst partner shares the record's most frequent tokens and lacks the rest: its combinations are the longest.
+    A combination is drawn token by token from those, the next with a chance of (c - i) / (u - i) to be shared, c of
+    the union's u tokens being shared; its length follows from the tokens' log shares, rounded down to CELLS steps
+    (lengths are not underrated). A group that runs out agrees more often than that.
+    """
+    m = len(sizes)
+    rec = np.repeat(np.arange(m), sizes)
+    limit = -math.log(RARE / max(1, records))
+    if limit <= 0:
+        return np.full(m, threshold)
+    weight = np.clip(-np.log(np.maximum(1, counts[_bucket(tokens)]) / max(1, records)), 0, limit)
+    shared = at_least(threshold, sizes)
+    weight = weight[np.argsort(rec + weight / (limit * 1.001))]  # each record's frequent tokens first; rec is the same after sorting
+    rank = np.arange(len(rec)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    top = rank < shared[rec]
+    cell = np.floor(weight[top] / limit * CELLS + 1e-9).astype(np.int64)
+    draw = np.bincount(rec[top] * (CELLS + 1) + cell, minlength=m * (CELLS + 1)).reshape(m, CELLS + 1) / np.maximum(1, shared)[:, None]
+    wave = np.fft.rfft(draw, 2 * CELLS, axis=1)
+    at, out, alive, agree = np.zeros((m, CELLS)), np.zeros(m), np.ones(m), np.ones(m)
+    at[:, 0] = 1
+    for i in range(int(shared.max(initial=0))):
+        agree = agree * np.maximum(0, shared - i) / np.maximum(1e-9, shared / threshold - i)
+        at = np.maximum(0, np.fft.irfft(np.fft.rfft(at, 2 * CELLS, axis=1) * wave, 2 * CELLS, axis=1)[:, :CELLS])
+        left = np.minimum(alive, at.sum(axis=1))
+        out += (alive - left) * agree
+        alive = left
+        if (alive * agree).max(initial=0) < 1e-4:
+            break
+    return out
+
+
+def wanted_signatures(tokens: np.ndarray, sizes: np.ndarray, counts: np.ndarray, records: int, threshold: float):
+    """(signatures, sure): how many dealt signatures each record gets, and whether it is also indexed by the exact scheme.
+
+    agreement() bounds from below the chance of every pair that a record is in, so the smaller number of a pair is
+    enough for it unless both records would need more than MOST.
+    """
+    numbers, least = _least_chances()
+    chance = agreement(tokens, sizes, counts, records, threshold)
+    # least rises as the numbers fall: the last that is still reached
+    place = np.searchsorted(least, chance, "right") - 1
+    return numbers[np.maximum(0, place)], (place < 0) | (at_least(threshold, sizes) < LARGE)
+
+
+def dealt_signatures(tokens: np.ndarray, sizes: np.ndarray, counts: np.ndarray, records: int, threshold: float, wanted: np.ndarray | None = None):
     """(record, signature, own) of records whose token sets are laid end to end; at most some thousand records.
 
     The number of groups depends on a band of sizes, [4^b, 4^(b+1)); a pair is looked for in the band of its smaller
-    record (own), so a record that may have a partner in the band below stands there too (as a guest).
+    record (own), so a record that may have a partner in the band below stands there too (as a guest). There are no
+    bands below LARGE. wanted: signatures of each record.
     """
+    if wanted is None:
+        wanted = wanted_signatures(tokens, sizes, counts, records, threshold)[0]
     rec = np.repeat(np.arange(len(sizes)), sizes)
     log_share = np.log(np.maximum(1, counts[_bucket(tokens)]) / max(1, records))
     limit = math.log(RARE / max(1, records))
@@ -222,12 +296,16 @@ def dealt_signatures(tokens: np.ndarray, sizes: np.ndarray, counts: np.ndarray,
     out = []
     for b in np.unique(band).tolist():
         for number, use in ((b, band == b), (b - 1, (band == b) & (at_least(threshold, sizes) < 4**b))):
-            if number < 0 or not use.any():
+            if number < 0 or 4**number < LARGE or not use.any():
                 continue
             groups = max(1, 4**number // GROUP)
             mine = use[rec]
             r, t, share = rec[mine], tokens[mine], log_share[mine]
-            for turn in range(-(-SIGNATURES // groups)):
+            turns = -(-wanted // groups)
+            for turn in range(int(turns[use].max())):
+                if turn >= turns[use].min():
+                    more = turns[r] > turn
+                    r, t, share = r[more], t[more], share[more]
                 h = mix(t + np.uint64(0x9E37 + (turn << 8) + number))
                 cell = (r * groups).astype(np.uint64) + (h >> np.uint64(40)) % np.uint64(groups)
                 shift = max(1, int(len(sizes) * groups).bit_length())
@@ -253,7 +331,22 @@ def dealt_signatures(tokens: np.ndarray, sizes: np.ndarray, counts: np.ndarray,
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def _emit(k: int, counts, classes: int, threshold: float, bands: list[Scheme] | None):
+def _index(tokens: np.ndarray, sizes: np.ndarray, counts: np.ndarray, classes: int, threshold: float, bands: list[Scheme], exact: bool):
+    """(record, signature, role); role: size, whether the signature is of the exact scheme, and whether it serves the pair's smaller record."""
+    if exact:
+        rec, sig, small = signatures(tokens, sizes, counts, classes, threshold, bands)
+        return rec, sig, sizes[rec] * 4 + 2 + small
+    wanted, sure = wanted_signatures(tokens, sizes, counts, classes, threshold)
+    rec, sig, small = dealt_signatures(tokens, sizes, counts, classes, threshold, wanted)
+    role = sizes[rec] * 4 + small
+    if sure.any():
+        which = np.flatnonzero(sure)
+        r, g, small = signatures(tokens[np.repeat(sure, sizes)], sizes[which], counts, classes, threshold, bands)
+        rec, sig, role = np.concatenate((rec, which[r])), np.concatenate((sig, g)), np.concatenate((role, sizes[which[r]] * 4 + 2 + small))
+    return rec, sig, role
+
+
+def _emit(k: int, counts, classes: int, threshold: float, bands: list[Scheme], exact: bool):
     def run(batches):
         hasher = Hasher()
         for batch in batches:
@@ -261,12 +354,9 @@ def _emit(k: int, counts, classes: int, threshold: float, bands: list[Scheme] |
                 sets = [_tokens(hasher, x, k) for x in batch.column(1).slice(start, 1000).to_pylist()]
                 sizes = np.array([len(s) for s in sets], np.int64)
                 ids = batch.column(0).slice(start, 1000).to_numpy()
-                if bands is None:
-                    rec, sig, small = dealt_signatures(np.concatenate(sets), sizes, counts.value, classes, threshold)
-                else:
-                    rec, sig, small = signatures(np.concatenate(sets), sizes, counts.value, classes, threshold, bands)
                 # size and role in one number: fewer bytes to move
-                role = (sizes[rec] * 2 + small).astype(np.int32)
+                rec, sig, role = _index(np.concatenate(sets), sizes, counts.value, classes, threshold, bands, exact)
+                role = role.astype(np.int32)
                 by_record = np.argsort(rec, kind="stable")
                 yield pa.RecordBatch.from_arrays([pa.array(sig[by_record].view(np.int64)), pa.array(ids[rec][by_record]), pa.array(role[by_record])], names=["sig", "id", "role"])
 
@@ -381,24 +471,27 @@ def near_duplicates(df: DataFrame, id_col: str, text: Column, k: int = 5, thresh
     classes = rows.filter("n > 0").groupBy("key").agg(F.min("id").alias("class_id"))
     members = materialise(rows.join(classes, "key", "left").select("id", F.coalesce("class_id", "id").alias("class_id"), "n"))
     count, low, high = members.filter("n > 0 and id = class_id").agg(F.count(F.lit(1)), F.min("n"), F.max("n")).first()
-    bands = (schemes(low, high, threshold) if count else []) if exact else None
+    bands = schemes(low, high, threshold) if count else []
     copies = members.filter("n = 0 or id <> class_id").select("id")
     own = small_join(texts, copies, ["id"], "left_anti", BROADCAST_IDS)
     counts = spark.sparkContext.broadcast(_sum_sketch(materialise(own.mapInArrow(_sketch(k), "block int, counts binary"))))  # 4 MB, fixed
     # One exchange serves both sides of the join: the condition on the left role also names the right one, so that it is
     # tested in the join and not pushed below the exchange, where it would make two of it.
-    sigs = own.mapInArrow(_emit(k, counts, count, threshold, bands), "sig long, id long, role int")
+    sigs = own.mapInArrow(_emit(k, counts, count, threshold, bands, exact), "sig long, id long, role int")
     left = sigs.select("sig", F.col("id").alias("i"), F.col("role").alias("ri"))
     right = sigs.select("sig", F.col("id").alias("j"), F.col("role").alias("rj"))
-    ni, nj = F.shiftright("ri", 1), F.shiftright("rj", 1)
+    ni, nj = F.shiftright("ri", 2), F.shiftright("rj", 2)
     role = F.col("ri").bitwiseAND(1) + F.col("rj").bitwiseAND(0) == 1
     fits = role & (ni >= F.lit(threshold) * nj - 1e-9) & ((ni < nj) | ((ni == nj) & (F.col("i") < F.col("j"))))
     found = left.join(right, "sig").filter(fits)
-    need = F.lit(1) if exact else F.when(F.least(ni, nj) >= LARGE, F.lit(SHARED)).otherwise(F.lit(1))
-    for b in bands or ():
+    need = F.lit(1)
+    for b in bands:
         need = F.when(ni >= b.low, F.lit(b.need)).otherwise(need)
-    pairs = found.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), need.alias("need"))
-    shared = pairs.groupBy("a", "b", "need").agg(F.count(F.lit(1)).alias("m")).filter("m >= need")
+    sure = F.col("ri").bitwiseAND(2) > 0
+    # one kind of signature is enough for a pair
+    pairs = found.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), need.alias("need"), sure.alias("sure"))
+    shared = pairs.groupBy("a", "b").agg(*[F.sum(F.when(F.col("sure") == x, 1).otherwise(0)).alias(c) for c, x in (("by_exact", True), ("by_dealt", False))], F.max(F.when(F.col("sure"), F.col("need"))).alias("need"))
+    shared = shared.filter((F.col("by_exact") >= F.col("need")) | (F.col("by_dealt") >= SHARED))
     candidates = materialise(shared.select("a", "b"))
     involved = candidates.select(F.col("a").alias("id")).unionByName(candidates.select(F.col("b").alias("id"))).distinct()
     sets = materialise(small_join(texts, involved, ["id"], "left_semi", BROADCAST_IDS).mapInArrow(_pack_sets(k), "id long, tokens binary"))

@@ -92,6 +92,35 @@ def test_edited_versions_of_a_text_that_fills_a_third_of_the_rows(spark):
     assert {tuple(x) for x in got.pairs().collect()} == brute(texts, 3, 0.6)
 
 
+def test_texts_from_one_template(spark):
+    r = random.Random(9)
+    template = [f"t{i}" for i in range(180)]
+    texts = [" ".join(template + [f"o{r.randrange(10**6)}" for _ in range(52)]) for _ in range(60)]
+    texts += [" ".join(f"o{r.randrange(10**6)}" for _ in range(230)) for _ in range(120)]
+    wanted = brute(texts, 3, 0.6)
+    got = N.near_duplicates(frame(spark, texts), "row", F.col("text"), 3, 0.6)
+    assert len(wanted) == 60 * 59 // 2 and {tuple(x) for x in got.pairs().collect()} == wanted
+
+
+@pytest.mark.parametrize("records", [10**4, 10**6, 10**8, 10**10])
+@pytest.mark.parametrize("share", [1e-3, 1e-2, 0.33])
+def test_pairs_at_the_threshold_are_indexed_together_at_any_size(records, share):
+    """The edited tokens are rare, the shared ones frequent."""
+    r = np.random.default_rng(6)
+    missed = 0
+    counts = np.ones(1 << N.SKETCH_BITS, np.float64)
+    for _ in range(20):
+        common = np.unique(r.integers(0, 2**63, 150).astype(np.uint64))
+        counts[N._bucket(common)] = share * records
+        x, y = (np.unique(np.concatenate((common, r.integers(0, 2**63, 48).astype(np.uint64)))) for _ in range(2))
+        sizes = np.array([len(x), len(y)])
+        rec, sig, role = N._index(np.concatenate((x, y)), sizes, counts, records, 0.6, N.schemes(min(sizes), max(sizes), 0.6), False)
+        both = np.intersect1d(sig[(rec == 0)], sig[(rec == 1)])
+        exact = np.isin(both, sig[role & 2 > 0])
+        missed += exact.sum() < N.NEED and (~exact).sum() < N.SHARED
+    assert missed == 0
+
+
 @pytest.mark.parametrize("exact", [False, True])
 def test_empty_table(spark, exact):
     got = N.near_duplicates(frame(spark, ["x"]).limit(0), "row", F.col("text"), 3, 0.6, exact)
