@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..session import fits, small_join
 
-#: Texts longer than this are counted by digest; the profile shows their length and digest instead.
+#: Texts longer than this are counted by digest; the profile shows their length and digest instead, and so many characters in a range.
 LONG_TEXT = 128
 
 _WS, _STR = r"[ \t\n\r]*+", r'"(?:[^"\\\x00-\x1f]++|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*+"'
@@ -22,16 +22,32 @@ _WS, _STR = r"[ \t\n\r]*+", r'"(?:[^"\\\x00-\x1f]++|\\(?:["\\/bfnrt]|u[0-9a-fA-F
 STRING_ARRAY = rf"^{_WS}\[{_WS}(?:{_STR}{_WS}(?:,{_WS}{_STR}{_WS})*+)?\]{_WS}$"
 
 
-def _as_text(df: DataFrame, c: str) -> Column:
+def _whole_text(df: DataFrame, c: str) -> Column:
     kind = dict(df.dtypes)[c]
-    text = F.col(c).cast("string") if kind not in ("binary",) and not kind.startswith(("array", "map", "struct")) else F.xxhash64(c).cast("string")
+    return F.col(c).cast("string") if kind not in ("binary",) and not kind.startswith(("array", "map", "struct")) else F.xxhash64(c).cast("string")
+
+
+def _as_text(df: DataFrame, c: str) -> Column:
+    text = _whole_text(df, c)
     return F.when(F.length(text) > LONG_TEXT, F.concat(F.lit("#"), F.length(text).cast("string"), F.lit(":"), F.sha2(text, 256))).otherwise(text)
 
 
-def value_counts(df: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
-    """(by..., column_name, value, n): how often each value, null too, stands in each column. One scan, one shuffle."""
-    pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), _as_text(df, c).alias("value")) for c in columns])
-    return df.select(*by, F.explode(pairs).alias("_p")).groupBy(*by, "_p.column_name", "_p.value").agg(F.count(F.lit(1)).alias("n"))
+def _head(df: DataFrame, c: str) -> Column:
+    text = _whole_text(df, c)
+    return F.when(F.length(text) > LONG_TEXT, F.substring(text, 1, LONG_TEXT))
+
+
+def numeric_columns(df: DataFrame) -> list[str]:
+    return [c for c, kind in df.dtypes if kind in ("tinyint", "smallint", "int", "bigint", "float", "double") or kind.startswith("decimal")]
+
+
+def value_counts(df: DataFrame, by: list[str], columns: list[str], heads: bool = False) -> DataFrame:
+    """(by..., column_name, value, n): how often each value, null too, stands in each column. One scan, one shuffle.
+
+    heads: also the start of each long text, as head.
+    """
+    pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), _as_text(df, c).alias("value"), *([_head(df, c).alias("head")] if heads else [])) for c in columns])
+    return df.select(*by, F.explode(pairs).alias("_p")).groupBy(*by, "_p.column_name", "_p.value", *(["_p.head"] if heads else [])).agg(F.count(F.lit(1)).alias("n"))
 
 
 def profile(df: DataFrame, by: list[str], columns: list[str], numeric: list[str] = ()) -> DataFrame:
@@ -39,18 +55,20 @@ def profile(df: DataFrame, by: list[str], columns: list[str], numeric: list[str]
 
     Numeric columns get their range by number (in min_number, max_number; NaN counts as a value and is not in
     the range). Ties of the most frequent value go to the smaller one. A column without values has nulls for the range.
+    Long texts are ranged by their first LONG_TEXT characters.
     """
     number = F.when(F.col("column_name").isin(list(numeric)), F.when(F.lower("value") != "nan", F.col("value").try_cast("double")))
     return (
-        value_counts(df, by, columns)
+        value_counts(df, by, columns, heads=True)
         .withColumn("number", number)
+        .withColumn("head", F.coalesce("head", "value"))
         .groupBy(*by, "column_name")
         .agg(
             F.sum("n").alias("rows"),
             F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("nulls"),
             F.count("value").alias("distincts"),
-            F.min("value").alias("min_value"),
-            F.max("value").alias("max_value"),
+            F.min("head").alias("min_value"),
+            F.max("head").alias("max_value"),
             F.min("number").alias("min_number"),
             F.max("number").alias("max_number"),
             F.max(F.when(F.col("value").isNotNull(), F.struct("n"))).getField("n").alias("top_count"),

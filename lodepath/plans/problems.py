@@ -69,17 +69,10 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return values.unionByName(moved.select("load_id", F.lit(0).cast("long").alias("row_id"), "column_name")).distinct()
 
 
-PROFILED = [
-    "source", "board_token", "is_expired", "title", "job_title_raw", "core_job_title", "job_category", "seniority_level", "role_type", "workplace_type", "formatted_workplace_location",
-    "workplace_countries", "min_industry_and_role_yoe", "yearly_min_compensation", "yearly_max_compensation", "listed_compensation_currency", "technical_tools", "estimated_publish_date",
-    "company_name", "company_website", "enriched_status", "nb_employees", "year_founded", "latitude", "longitude",
-]
-NUMERIC = ["min_industry_and_role_yoe", "yearly_min_compensation", "yearly_max_compensation", "nb_employees", "year_founded", "latitude", "longitude"]
-
-
 def p6_profile(spark: SparkSession, d: str) -> DataFrame:
     """Rows, nulls, distincts, range and most frequent value of each column in each load."""
-    return profiling.profile(table(spark, d, "jobs"), ["load_id"], PROFILED, NUMERIC)
+    jobs = table(spark, d, "jobs")
+    return profiling.profile(jobs, ["load_id"], [c for c in jobs.columns if c != "load_id"], profiling.numeric_columns(jobs))
 
 
 def p6_shifts(spark: SparkSession, d: str) -> DataFrame:

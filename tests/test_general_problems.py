@@ -12,6 +12,7 @@ from lodepath.operators import compaction as C
 from lodepath.operators import drift as D
 from lodepath.operators import profiling as P
 from lodepath.operators.upsert import last_wins, upsert
+from lodepath.plans import problems
 from lodepath.session import fits, small_join
 
 # --- drift ---
@@ -136,6 +137,17 @@ def test_profile_and_shifts(spark):
     assert shift.half_abs == pytest.approx(1.0) and shift.chi_square > 4 and shift.psi > 1
 
 
+def test_p6_profile_covers_every_column(spark, tmp_path):
+    long = ["b" * 300, "a" * 300, None]
+    rows = [(1, i, f"id{i}", long[i], 10.0 * i) for i in range(3)]
+    spark.createDataFrame(rows, "load_id long, row_id long, id string, description string, pay double").write.parquet(f"{tmp_path}/jobs.parquet")
+    got = {r.column_name: r for r in problems.p6_profile(spark, str(tmp_path)).collect()}
+    assert set(got) == {"row_id", "id", "description", "pay"}
+    d = got["description"]
+    assert (d.rows, d.nulls, d.distincts, d.min_value, d.max_value) == (3, 1, 2, "a" * 128, "b" * 128)
+    assert (got["id"].distincts, got["pay"].max_number, got["row_id"].max_number) == (3, 20.0, 2.0)
+
+
 def test_weighted_median(spark):
     counts = spark.createDataFrame([(1, 5.0, 1), (1, 7.0, 2), (1, 9.0, 1), (2, 1.0, 1), (2, 4.0, 1)], "g long, v double, n long")
     assert {(r.g, r.median) for r in P.weighted_median(counts, ["g"], "v").collect()} == {(1, 7.0), (2, 2.5)}
