@@ -92,32 +92,61 @@ def _previous(loads: DataFrame, group: str, load: str) -> DataFrame:
     return loads.select(group, load).distinct().withColumn("previous", F.lag(load).over(Window.partitionBy(group).orderBy(load))).filter("previous is not null").select(load, "previous")
 
 
-def share_shift(counts: DataFrame, pairs: DataFrame, load: str, eps: float = 1e-6) -> DataFrame:
-    """(load, previous, column_name, half_abs, chi_square, psi) of the shares of values in two loads.
-
-    counts: (load, column_name, value, n) of the values that count; pairs: (load, previous). half_abs is half the
-    sum of absolute differences of shares. A load without values in a column has no row for it.
-    """
-    total = counts.groupBy(load, "column_name").agg(F.sum("n").alias("all"))
-    now = counts.join(total, [load, "column_name"]).withColumn("p", F.col("n") / F.col("all"))
-    a = pairs.join(now.select(load, "column_name", "value", "n", "p"), load).select(load, "previous", "column_name", "value", F.col("n").alias("n1"), F.col("p").alias("p1"), F.lit(0).alias("n0"), F.lit(0.0).alias("p0"))
-    b = pairs.join(now.select(F.col(load).alias("previous"), "column_name", "value", "n", "p"), "previous").select(load, "previous", "column_name", "value", F.lit(0).alias("n1"), F.lit(0.0).alias("p1"), F.col("n").alias("n0"), F.col("p").alias("p0"))
-    each = a.unionByName(b).groupBy(load, "previous", "column_name", "value").agg(*[F.sum(c).alias(c) for c in ("n0", "n1", "p0", "p1")])
-    t1, t0 = total.select(load, "column_name", F.col("all").alias("all1")), total.select(F.col(load).alias("previous"), "column_name", F.col("all").alias("all0"))
-    each = each.join(t1, [load, "column_name"]).join(t0, ["previous", "column_name"])
+def _sides(counts: DataFrame, pairs: DataFrame, load: str) -> DataFrame:
+    """(load, previous, column_name, value, n1, n0): each pair's counts of its load and of the previous one, not yet added up."""
+    a = pairs.join(counts, load).select(load, "previous", "column_name", "value", F.col("n").alias("n1"), F.lit(0).cast("long").alias("n0"))
+    b = pairs.join(counts.withColumnRenamed(load, "previous"), "previous").select(load, "previous", "column_name", "value", F.lit(0).cast("long").alias("n1"), F.col("n").alias("n0"))
+    return a.unionByName(b)
+
+
+def _compare(sides: DataFrame, load: str, eps: float = 1e-6) -> DataFrame:
+    by = [load, "previous", "column_name"]
+    each = sides.groupBy(*by, "value").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
+    total = each.groupBy(*by).agg(F.sum("n1").alias("all1"), F.sum("n0").alias("all0")).filter("all1 > 0 and all0 > 0")
+    each = each.join(total, by).withColumns({"p1": F.col("n1") / F.col("all1"), "p0": F.col("n0") / F.col("all0")})
     pooled = (F.col("n0") + F.col("n1")) / (F.col("all0") + F.col("all1"))
     q0, q1 = F.greatest("p0", F.lit(eps)), F.greatest("p1", F.lit(eps))
-    return each.groupBy(load, "previous", "column_name").agg(
+    return each.groupBy(*by).agg(
         (F.sum(F.abs(F.col("p1") - F.col("p0"))) / 2).alias("half_abs"),
         F.sum(F.pow(F.col("n0") - F.col("all0") * pooled, 2) / (F.col("all0") * pooled) + F.pow(F.col("n1") - F.col("all1") * pooled, 2) / (F.col("all1") * pooled)).alias("chi_square"),
         F.sum((q1 - q0) * F.log(q1 / q0)).alias("psi"),
     )
 
 
-def shifts(df: DataFrame, loads: DataFrame, group: str, load: str, columns: list[str]) -> DataFrame:
-    """share_shift() of every column over consecutive loads of a group; nulls count as a value of their own."""
-    counts = value_counts(df, [load], columns).withColumn("value", F.coalesce("value", F.lit("\0null")))
-    return share_shift(counts, _previous(loads, group, load), load)
+def share_shift(counts: DataFrame, pairs: DataFrame, load: str, eps: float = 1e-6) -> DataFrame:
+    """(load, previous, column_name, half_abs, chi_square, psi) of the shares of values in two loads.
+
+    counts: (load, column_name, value, n) of the values that count; pairs: (load, previous). half_abs is half the
+    sum of absolute differences of shares. A load without values in a column has no row for it.
+    """
+    return _compare(_sides(counts, pairs, load), load, eps)
+
+
+def quantile_edges(counts: DataFrame, by: list[str], value: str, bins: int) -> DataFrame:
+    """(by..., edges): the distinct exact quantiles at 1/bins, 2/bins and so on, from value counts; each is a value that stands there."""
+    upto = F.sum("n").over(Window.partitionBy(*by).orderBy(value))
+    ranked = counts.withColumn("_upto", upto).withColumn("_all", F.sum("n").over(Window.partitionBy(*by)))
+    edges = [F.min(F.when(F.col("_upto") * bins >= F.col("_all") * i, F.col(value))) for i in range(1, bins)]
+    return ranked.groupBy(*by).agg(F.array_distinct(F.array(*edges)).alias("edges"))
+
+
+def shifts(df: DataFrame, loads: DataFrame, group: str, load: str, columns: list[str], numeric: list[str] = (), bins: int = 10) -> DataFrame:
+    """share_shift() of every column over consecutive loads of a group; nulls count as a value of their own.
+
+    Numeric columns are compared by bins: those that the exact quantiles of the previous load bound, a bin holding its
+    upper edge. NaN counts as a value of its own. A previous load without numbers has one bin.
+    """
+    pairs = _previous(loads, group, load)
+    counts = value_counts(df, [load], columns)
+    is_number = F.col("column_name").isin(list(numeric)) & F.col("value").isNotNull() & (F.lower("value") != "nan")
+    number = F.when(is_number, F.col("value").try_cast("double"))
+    numbers = counts.filter(is_number).groupBy(load, "column_name", number.alias("number")).agg(F.sum("n").alias("n"))
+    edges = quantile_edges(numbers, [load, "column_name"], "number", bins).withColumnRenamed(load, "previous")
+    sides = _sides(counts.withColumn("value", F.coalesce("value", F.lit("\0null"))), pairs, load)
+    texts = sides.filter(~F.coalesce(is_number, F.lit(False)) | (F.col("value") == "\0null"))
+    binned = sides.filter(is_number & (F.col("value") != "\0null")).withColumn("number", number).join(edges, ["previous", "column_name"], "left")
+    below = F.coalesce(F.size(F.filter("edges", lambda e: e < F.col("number"))), F.lit(0))
+    return _compare(texts.unionByName(binned.withColumn("value", below.cast("string")).select(*texts.columns)), load)
 
 
 # --- rules for pay, level and countries ---------------------------------------------------------

@@ -76,9 +76,10 @@ def p6_profile(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_shifts(spark: SparkSession, d: str) -> DataFrame:
-    """Chi-square, population stability index and half the sum of share differences between consecutive loads."""
-    columns = ["seniority_level", "workplace_countries", "workplace_type", "role_type", "job_category", "source", "listed_compensation_currency"]
-    out = profiling.shifts(table(spark, d, "jobs"), table(spark, d, "ingest_runs").select("root_dir", "load_id"), "root_dir", "load_id", columns)
+    """Chi-square, population stability index and half the sum of share differences between consecutive loads, of every column; numeric ones by tenths of the previous load."""
+    jobs = table(spark, d, "jobs")
+    columns = [c for c in jobs.columns if c != "load_id"]
+    out = profiling.shifts(jobs, table(spark, d, "ingest_runs").select("root_dir", "load_id"), "root_dir", "load_id", columns, profiling.numeric_columns(jobs))
     return out.withColumns({c: F.round(c, 6) for c in ("half_abs", "chi_square", "psi")})
 
 

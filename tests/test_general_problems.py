@@ -148,6 +148,21 @@ def test_p6_profile_covers_every_column(spark, tmp_path):
     assert (got["id"].distincts, got["pay"].max_number, got["row_id"].max_number) == (3, 20.0, 2.0)
 
 
+def test_p6_shifts_sees_a_changed_spread(spark, tmp_path):
+    old = [float(x) for x in range(1, 101)]
+    new = [50.5 + (x - 50.5) * 3 for x in old]  # the same median
+    rows = [(1, x, "a", None) for x in old] + [(1, float("nan"), "a", 1)] + [(2, x, "a", 1) for x in new] + [(2, None, "a", 1), (3, None, "b", 1)]
+    spark.createDataFrame(rows, "load_id long, pay double, level string, n long").write.parquet(f"{tmp_path}/jobs.parquet")
+    spark.createDataFrame([("r", 1), ("r", 2), ("r", 3)], "root_dir string, load_id long").write.parquet(f"{tmp_path}/ingest_runs.parquet")
+    got = {(r.load_id, r.column_name): r for r in problems.p6_shifts(spark, str(tmp_path)).collect()}
+    assert set(got) == {(i, c) for i in (2, 3) for c in ("pay", "level", "n")}
+    # tenths of load 1 against load 2: the edges 10, 20 ... 90 leave 37, 3, 3, 4, 3, 3, 4, 3, 3, 37 of the new values
+    inside = [sum(lo < x <= hi for x in new) for lo, hi in zip([-1e9, *range(10, 100, 10)], [*range(10, 100, 10), 1e9], strict=True)]
+    want = (sum(abs(m / 101 - 10 / 101) for m in inside) + 2 / 101) / 2  # NaN went, a null came
+    assert got[2, "pay"].half_abs == pytest.approx(want, abs=1e-6) and want > 0.5
+    assert got[2, "level"].half_abs == 0 and got[3, "level"].half_abs == 1 and got[2, "n"].half_abs == pytest.approx(100 / 101, abs=1e-6)
+
+
 def test_weighted_median(spark):
     counts = spark.createDataFrame([(1, 5.0, 1), (1, 7.0, 2), (1, 9.0, 1), (2, 1.0, 1), (2, 4.0, 1)], "g long, v double, n long")
     assert {(r.g, r.median) for r in P.weighted_median(counts, ["g"], "v").collect()} == {(1, 7.0), (2, 2.5)}
