@@ -13,7 +13,7 @@ import uuid
 import zlib
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import IngestError
@@ -171,6 +171,20 @@ def compact(files: DataFrame, out_dir: str, capacity: int = 128 << 20) -> dict:
     return record
 
 
+_EMPTY = "file_id long, file_name string, content binary, bin string"
+
+
+def written_bins(spark: SparkSession, out_dir: str, version: str) -> DataFrame:
+    """(bin, rows, bytes, checksum) of a committed version, from what stands in its files; no rows if all was left out.
+
+    bytes are those of the contents; checksum is the order-free sum of compact()'s verification, as text.
+    """
+    bins = spark.read.schema(_EMPTY).parquet(f"{out_dir}/{version}")
+    read = bins.select("file_id", "bin", F.octet_length("content").alias("size")).join(digests(bins), "file_id")
+    total = F.sum(F.xxhash64("digest", "file_id").cast("decimal(38,0)")).cast("string")
+    return read.groupBy("bin").agg(F.count(F.lit(1)).alias("rows"), F.sum("size").alias("bytes"), total.alias("checksum"))
+
+
 def bin_report(bins: DataFrame, capacity: int) -> DataFrame:
     """(bin, files, bytes, fill) of a plan."""
     return bins.groupBy("bin").agg(F.count(F.lit(1)).alias("files"), F.sum("size_bytes").alias("bytes")).withColumn("fill", F.col("bytes") / F.lit(float(capacity)))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import compaction, drift, profiling, shredding
-from ..session import materialise, table
+from ..session import materialise, shared_folder, table
 
 BLOBS = ["v5_processed_job_data_json", "enriched_company_data_json", "job_information_json"]
 
@@ -58,6 +58,13 @@ def p5_bins(spark: SparkSession, d: str) -> DataFrame:
     return compaction.plan_bins(kept, BIN_BYTES)
 
 
+def p5_compact(spark: SparkSession, d: str) -> DataFrame:
+    """Rewrites all of raw_files into the shared folder and reads each bin of the committed version: rows, bytes and checksum."""
+    out = shared_folder(spark, "compact")
+    record = compaction.compact(table(spark, d, "raw_files"), out, BIN_BYTES)
+    return compaction.written_bins(spark, out, record["version"])
+
+
 def _checked(spark: SparkSession, d: str) -> DataFrame:
     return profiling.with_validity(table(spark, d, "jobs"), table(spark, d, "country_codes"), "row_id", "load_id")
 
@@ -86,7 +93,7 @@ def p6_shifts(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found, "p1_tables": p1_tables,
     "p4_found": p4_found, "p4_table": p4_table,
-    "p5_found": p5_found, "p5_bins": p5_bins,
+    "p5_found": p5_found, "p5_bins": p5_bins, "p5_compact": p5_compact,
     "p6_found": p6_found, "p6_profile": p6_profile, "p6_shifts": p6_shifts,
 }
 _GOOD_PLACES = """regexp_full_match(workplace_countries, '[ \\t\\n\\r]*\\[[ \\t\\n\\r]*("([^"\\\\]|\\\\.)*"[ \\t\\n\\r]*(,[ \\t\\n\\r]*"([^"\\\\]|\\\\.)*"[ \\t\\n\\r]*)*)?\\][ \\t\\n\\r]*')"""

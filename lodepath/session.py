@@ -54,7 +54,7 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 
 def release() -> None:
-    """Delete every table written by materialise(); results that read them are unusable afterwards."""
+    """Delete every table written by materialise() and every shared_folder(); results that read them are unusable afterwards."""
     while _written:
         _delete(*_written.pop())
 
@@ -62,6 +62,13 @@ def release() -> None:
 atexit.register(release)
 
 
+def shared_folder(spark: SparkSession, kind: str) -> str:
+    """A new folder's path in the shared folder, which release() deletes as well."""
+    path = f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
 def materialise(df: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back.
 

@@ -95,6 +95,18 @@ def test_failed_verification_commits_nothing(spark, tmp_path, monkeypatch):
     assert not os.path.exists(tmp_path / "out" / "CURRENT")
 
 
+def test_p5_compact_writes_all_that_is_kept(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    contents = [gz({"v": i % 5}) for i in range(12)] + [b"", None]
+    rows = [(i, f"f{i}", len(c or b""), c) for i, c in enumerate(contents)]
+    spark.createDataFrame(rows, "file_id long, file_name string, size_bytes long, content binary").write.parquet(f"{tmp_path}/raw_files.parquet")
+    got = entry.queries()["p5_compact"](spark, str(tmp_path)).collect()
+    kept = C.digests(spark.createDataFrame(rows[:5], "file_id long, file_name string, size_bytes long, content binary"))
+    assert sum(r.rows for r in got) == 5 and sum(r.bytes for r in got) == sum(r[2] for r in rows[:5])
+    assert sum(int(r.checksum) for r in got) == int(C._checksum(kept)[1])
+
+
 # --- profiles ---
 JOBS = [
     (1, 1, 50000.0, 60000.0, "Lead", '["US"]'), (1, 2, 70000.0, 60000.0, "lead", '["US","US"]'), (1, 3, float("nan"), None, None, "[]"), (1, 4, 999.0, None, "Director", '["XX"]'), (1, 5, None, None, "Lead", "['US']"),
