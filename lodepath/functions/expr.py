@@ -58,8 +58,12 @@ def instant(c: Column) -> Column:
 
 
 def mentions(c: Column) -> Column:
-    """A JSON array's elements as texts; null elements stay, null and empty text give none."""
-    return F.from_json(F.nullif(F.coalesce(c, F.lit("[]")), F.lit("")), "array<string>")
+    """A JSON array's elements as texts; null elements stay; null, empty text and what is no JSON array give none.
+
+    from_json() alone also takes single quotes and the like, so the text is tested by the strict parser first.
+    """
+    strict = F.try_variant_get(F.try_parse_json(c), "$", "array<string>").isNotNull()
+    return F.from_json(F.when(strict, c), "array<string>")
 
 
 def contains_text(columns: list[str], needle: str) -> Column:

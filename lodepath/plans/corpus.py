@@ -95,7 +95,7 @@ QUERIES = {
     "breakdown_min_compensation": lambda s, d: stats.breakdown(_jobs(s, d), "yearly_min_compensation", 20),
     "breakdown_total_seniority": lambda s, d: stats.breakdown_total(_jobs(s, d), "seniority_level"),
     "technical_tools": lambda s, d: stats.multi_breakdown(_jobs(s, d), "technical_tools"),
-    "workplace_countries": lambda s, d: stats.multi_breakdown(_jobs(s, d).filter("try_variant_get(try_parse_json(workplace_countries), '$', 'array<string>') is not null"), "workplace_countries", 15),
+    "workplace_countries": lambda s, d: stats.multi_breakdown(_jobs(s, d), "workplace_countries", 15),
     "breakdown_company_all": lambda s, d: stats.breakdown(_jobs(s, d), "company_name", 40, include_expired=True),
     "technical_tools_totals": lambda s, d: stats.multi_breakdown_totals(_jobs(s, d), "technical_tools"),
     "compensation_by_currency": lambda s, d: _rounded(stats.compensation(_jobs(s, d))),

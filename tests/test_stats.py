@@ -1,8 +1,10 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from lodepath.errors import StatsUnavailable
+from lodepath.functions import expr
 from lodepath.operators import stats
 from lodepath.schema import JOBS
 
@@ -111,3 +113,10 @@ def test_arguments(jobs, spark, tmp_path):
 def test_summary(jobs):
     s = stats.summary(jobs, NOW)
     assert s["overview"]["active_rows"] == 5 and s["breakdowns"]["workplace_type"].total == 4
+
+
+def test_mentions_are_of_strict_json_arrays_only(spark):
+    texts = ['["US", null]', " [] ", "['US']", '["US",]', '"US"', '{"a": "US"}', '["US"', "", None, '["DE", "\\u0055S"]']
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i long, c string")
+    got = {r.i: r.m for r in df.select("i", expr.mentions(F.col("c")).alias("m")).collect()}
+    assert got == {0: ["US", None], 1: [], **dict.fromkeys(range(2, 9)), 9: ["DE", "US"]}
