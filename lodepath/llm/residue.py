@@ -87,10 +87,11 @@ _HTML_NAMES = (
 _HTML = re.compile(r"</?(?:" + "|".join(_HTML_NAMES) + r")(?:\s+[^<>]*=[^<>]*|\s*/?)>|<!--.*?-->|<!doctype[^>]*>", re.I | re.S)
 _NAME = r"[^\W\d_][\w .\-’']{0,40}"
 #: Delimiters of template marks. strong: hardly anything else; weak: brackets that people also use.
+#: What stands in a strong mark may be of any length: no class holds its own delimiter, so the possessive runs end there.
 _STRONG = re.compile(
-    r"\{\{\{?\s*(?P<s1>[^{}]{0,60}?)\s*\}?\}\}|\$\{\s*(?P<s2>[^{}]{1,60}?)\s*\}|<%[=\-]?\s*(?P<s3>[^%<>]{1,60}?)\s*-?%>|\{%\s*(?P<s4>[^%{}]{1,60}?)\s*%\}|\[\[\s*(?P<s5>[^\[\]]{1,60}?)\s*\]\]"
-    r"|<<\s*(?P<s6>[^<>]{1,60}?)\s*>>|«\s*(?P<s7>\w{2,60})\s*»|%\(\s*(?P<s8>\w{1,60})\s*\)[sdif]|\*\|\s*(?P<s9>[\w:]{1,60})\s*\|\*|@@\s*(?P<s10>\w{1,60})\s*@@|@Model\.(?P<s11>\w{1,60})"
-    r"|(?<![\w%])%(?P<s12>[A-Z][A-Z0-9_]{1,60})%|(?<!\w)__(?P<s13>[A-Z][A-Z0-9_]{1,60}?)__(?!\w)|(?<![\w$])\$(?P<s14>[A-Z][A-Z0-9_]{1,60})\$|(?<![\w#])\#(?P<s15>[A-Z][A-Z0-9_]{1,60})\#|(?<![\w:]):(?P<s16>[A-Z][A-Z0-9_]{1,60}):"
+    r"\{\{\{?\s*+(?P<s1>[^{}]*+)\}?\}\}|\$\{\s*+(?P<s2>[^{}]++)\}|<%[=\-]?\s*+(?P<s3>[^%<>]++)%>|\{%\s*+(?P<s4>[^%{}]++)%\}|\[\[\s*+(?P<s5>[^\[\]]++)\]\]"
+    r"|<<\s*+(?P<s6>[^<>]++)>>|«\s*+(?P<s7>\w{2,}+)\s*+»|%\(\s*+(?P<s8>\w++)\s*+\)[sdif]|\*\|\s*+(?P<s9>[\w:]++)\s*+\|\*|@@\s*+(?P<s10>\w++)\s*+@@|@Model\.(?P<s11>\w++)"
+    r"|(?<![\w%])%(?P<s12>[A-Z][A-Z0-9_]++)%|(?<!\w)__(?P<s13>[A-Z][A-Z0-9_]+?)__(?!\w)|(?<![\w$])\$(?P<s14>[A-Z][A-Z0-9_]++)\$|(?<![\w#])\#(?P<s15>[A-Z][A-Z0-9_]++)\#|(?<![\w:]):(?P<s16>[A-Z][A-Z0-9_]++):"
 )
 _WEAK = re.compile(rf"\[\s*(?P<w1>{_NAME}(?::[^\[\]]{{0,40}})?)\s*\]|\(\s*(?P<w2>{_NAME}(?::[^()]{{0,40}})?)\s*\)|(?<![{{$])\{{\s*(?P<w3>{_NAME}|\d)\s*\}}|<\s*(?P<w4>{_NAME}(?::[^<>]{{0,40}})?)\s*>|_{{4,}}")
 _BARE = re.compile(r"\[object Object\]|(?<!['\"‘“\w])undefined(?!['\"’”\w])(?! is not a\b)|\bXXXX+\b|(?<!\w)NaN(?!\w)")

@@ -1,3 +1,5 @@
+import time
+
 import pytest
 
 from lodepath.llm import residue as R
@@ -32,6 +34,19 @@ def test_clean(text):
     assert R.residue(text) == []
 
 
+@pytest.mark.parametrize(("left", "right"), [("{{ ", " }}"), ("{{{", "}}}"), ("${", "}"), ("<%= ", " -%>"), ("{% ", " %}"), ("[[ ", " ]]"), ("<<", ">>")])
+def test_long_slots(left, right):
+    inner = "insert the name of the hiring manager and the department and the full address of the site at which the shift begins"
+    assert ("template" in {k for k, _ in R.residue(f"We pack crates with {left}{inner}{right} each day.")}) and len(inner) > 100
+
+
+@pytest.mark.parametrize("text", ["{{" + "a " * 100_000, "{{" * 50_000, "{{" + " " * 100_000 + "x", "<<" + "b " * 100_000, "__" + "A_" * 100_000])
+def test_open_marks_take_linear_time(text):
+    began = time.monotonic()
+    R.residue(text)
+    assert time.monotonic() - began < 10
+
+
 def test_without_the_library(monkeypatch):
     import sys
 
