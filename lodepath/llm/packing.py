@@ -21,6 +21,8 @@ from ..session import materialise
 SHARD_ITEMS = 25_000
 #: Containers less full than this share are packed again with those of other shards.
 FULL = 0.97
+#: A further round is made while the last one took away at least this share of the open containers.
+PROGRESS = 0.05
 
 
 def sum_of_squares(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -51,11 +53,16 @@ def sum_of_squares(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.nda
 
 
 def pieces(df: DataFrame, id_col: str, size, capacity: int) -> DataFrame:
-    """(id, piece, start, size): each item whole, or, only if it exceeds the capacity, in parts of it."""
+    """(id, all, copy, piece, start, size): each item whole, or, only if it exceeds the capacity, in parts of it.
+
+    Rows that agree in id and size are told apart by copy, from 1.
+    """
     own = df.select(F.col(id_col).cast("long").alias("id"), size.cast("long").alias("all"))
-    cut = own.withColumn("piece", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("all") / capacity) - 1, F.lit(0)).cast("int"))))
+    counted = own.groupBy("id", "all").agg(F.count(F.lit(1)).alias("n"))
+    each = counted.select("id", "all", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("copy"))
+    cut = each.withColumn("piece", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("all") / capacity) - 1, F.lit(0)).cast("int"))))
     start = F.col("piece").cast("long") * capacity
-    return cut.select("id", "piece", start.alias("start"), F.least(F.col("all") - start, F.lit(capacity)).alias("size"))
+    return cut.select("id", "all", "copy", "piece", start.alias("start"), F.least(F.col("all") - start, F.lit(capacity)).alias("size"))
 
 
 def _pack(capacity: int):
@@ -68,38 +75,52 @@ def _pack(capacity: int):
     return run
 
 
+def _moves(boxes: DataFrame, level: int, shards: int, capacity: int) -> DataFrame:
+    """(box, into, shift, size): one round, each shard packed by itself."""
+    keyed = boxes.withColumn("order", F.xxhash64("box", F.lit(level)))
+    keyed = keyed.withColumn("level", F.lit(level)).withColumn("shard", F.pmod(F.xxhash64("order"), F.lit(shards)))
+    return materialise(keyed.groupBy("level", "shard").applyInPandas(_pack(capacity), "box string, into string, shift long, size long"))
+
+
 def pack(df: DataFrame, id_col: str, size, capacity: int) -> DataFrame:
     """(id, piece, start, size, container, offset): each piece's container and position in it, every item exactly once.
 
     size: a column of whole numbers; items of size 0 or null are taken as 0 and stand at offset 0 of a container of their
-    own kind, "empty". Repeated ids are packed as separate items only if their rows differ in size; otherwise they are
-    refused by the caller. Equal sizes keep an order by a hash of id and piece, so the result does not depend on partitions.
+    own kind, "empty". Rows that repeat an id, with another size or the same, are items of their own. Equal sizes keep an
+    order by a hash, so the result does not depend on partitions.
+
+    The first round packs the items, the further ones the containers that are still open; a round is made only if
+    several shards are left and the last round closed or merged at least PROGRESS of what was open, so their number is
+    bounded by its logarithm. Containers that find no partner stay as they are. Items are joined to the containers once,
+    at the end; between rounds only the open containers move.
     """
     cut = materialise(pieces(df, id_col, F.coalesce(size, F.lit(0)), capacity))
     real = cut.filter("size > 0")
-    full = real.filter(F.col("size") == capacity).select("id", "piece", "start", "size", F.concat(F.lit("full."), F.col("id").cast("string"), F.lit("."), F.col("piece").cast("string")).alias("container"), F.lit(0).cast("long").alias("offset"))
-    rest = real.filter(F.col("size") < capacity).withColumn("box", F.concat_ws(".", F.lit("i"), F.col("id").cast("string"), F.col("piece").cast("string")))
-    boxes = rest.select("box", "size")
-    placed = rest.select("id", "piece", "start", "size", "box", F.lit(0).cast("long").alias("offset"))
-    level, last = 0, None
+    name = F.concat_ws(".", "id", "all", "copy", "piece")
+    full = real.filter(F.col("size") == capacity).select("id", "piece", "start", "size", F.concat(F.lit("full."), name).alias("container"), F.lit(0).cast("long").alias("offset"))
+    rest = real.filter(F.col("size") < capacity).withColumn("box", F.concat(F.lit("i."), name))
+    boxes, opened = rest.select("box", "size"), None
+    rounds: list[DataFrame] = []
     while True:
         n = boxes.count()
-        shards = max(1, -(-n // SHARD_ITEMS))
-        if n == 0 or (last is not None and (shards == 1 and last == 1)):
+        if n == 0 or (opened is not None and n > (1 - PROGRESS) * opened):
             break
-        keyed = boxes.withColumn("order", F.xxhash64("box", F.lit(level)))
-        keyed = keyed.withColumn("level", F.lit(level)).withColumn("shard", F.pmod(F.xxhash64("order"), F.lit(shards)))
-        moved = materialise(keyed.groupBy("level", "shard").applyInPandas(_pack(capacity), "box string, into string, shift long, size long"))
-        placed = placed.join(moved.select("box", "into", "shift"), "box", "left").select(
-            "id", "piece", "start", "size", F.coalesce("into", "box").alias("box"), (F.col("offset") + F.coalesce("shift", F.lit(0))).alias("offset")
-        )
-        boxes = moved.groupBy("into").agg(F.sum("size").alias("size")).filter(F.col("size") < FULL * capacity).withColumnRenamed("into", "box")
+        shards = -(-n // SHARD_ITEMS)
+        moved = _moves(boxes, len(rounds), shards, capacity)
+        rounds.append(moved)
         if shards == 1:
             break
-        level, last = level + 1, shards
-        boxes = materialise(boxes)
+        opened = n if len(rounds) > 1 else None  # the first round turns items into containers: its number says nothing
+        boxes = materialise(moved.groupBy("into").agg(F.sum("size").alias("size")).filter(F.col("size") < FULL * capacity).withColumnRenamed("into", "box"))
+    placed = rest.select("id", "piece", "start", "size", F.col("box").alias("container"), F.lit(0).cast("long").alias("offset"))
+    if rounds:
+        last = rounds[-1].select("box", "into", "shift")
+        for earlier in reversed(rounds[:-1]):  # where a round's containers ended up
+            onward = last.select(F.col("box").alias("into"), F.col("into").alias("_to"), F.col("shift").alias("_by"))
+            last = earlier.select("box", "into", "shift").join(onward, "into", "left").select("box", F.coalesce("_to", "into").alias("into"), (F.col("shift") + F.coalesce("_by", F.lit(0))).alias("shift"))
+        placed = rest.join(last, "box").select("id", "piece", "start", "size", F.col("into").alias("container"), F.col("shift").alias("offset"))
     empty = cut.filter("size <= 0").select("id", "piece", "start", "size", F.lit("empty").alias("container"), F.lit(0).cast("long").alias("offset"))
-    return full.unionByName(placed.withColumnRenamed("box", "container")).unionByName(empty)
+    return full.unionByName(placed).unionByName(empty)
 
 
 def containers(packed: DataFrame, capacity: int) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import materialise, small_join, table
@@ -60,6 +60,17 @@ def p7_packing(spark: SparkSession, d: str) -> DataFrame:
     return _packed(spark, d).withColumnRenamed("id", "doc_id")
 
 
+def p7_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """For each document the pieces and tokens that were packed, and how many pieces overlap another one or reach beyond their container: none may."""
+    packed = _packed(spark, d).filter("size > 0").select("id", "size", "container", "offset", (F.col("offset") + F.col("size")).alias("end"))
+    before = F.max("end").over(Window.partitionBy("container").orderBy("offset", "id", "end").rowsBetween(Window.unboundedPreceding, -1))
+    placed = packed.withColumn("over", F.coalesce(before > F.col("offset"), F.lit(False)))
+    count = lambda c: F.count_if(c).alias
+    return placed.groupBy(F.col("id").alias("doc_id")).agg(
+        F.count(F.lit(1)).alias("n_pieces"), F.sum("size").alias("n_tokens"), count(F.col("over"))("n_overlapping"), count((F.col("end") > CAPACITY) | (F.col("offset") < 0))("n_outside")
+    )
+
+
 def p7_containers(spark: SparkSession, d: str) -> DataFrame:
     """How full each container is."""
     return packing.containers(_packed(spark, d), CAPACITY)
@@ -97,10 +108,11 @@ def p9_clean(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "p2_found": p2_found, "p2_groups": p2_groups,
     "p3_found": p3_found, "p3_unmatched": p3_unmatched,
-    "p7_found": p7_found, "p7_packing": p7_packing, "p7_containers": p7_containers,
+    "p7_found": p7_found, "p7_packing": p7_packing, "p7_invariants": p7_invariants, "p7_containers": p7_containers,
     "p8_found": p8_found, "p8_spans": p8_spans,
     "p9_found": p9_found, "p9_passages": p9_passages, "p9_clean": p9_clean,
 }
 ORACLE = {
     "p7_found": f"SELECT doc_id FROM documents WHERE strlen(text) + 1 > {CAPACITY}",
+    "p7_invariants": f"SELECT doc_id, CAST(ceil((coalesce(strlen(text), 0) + 1) / {CAPACITY}.0) AS BIGINT) AS n_pieces, coalesce(strlen(text), 0) + 1 AS n_tokens, 0::BIGINT AS n_overlapping, 0::BIGINT AS n_outside FROM documents",
 }

@@ -38,6 +38,30 @@ def test_pack(spark, monkeypatch, shard):
     assert sorted(rows) == sorted(tuple(x) for x in P.pack(df.repartition(7), "doc", F.col("n"), 100).collect())
 
 
+def test_rounds_end_where_nothing_fits(spark, monkeypatch):
+    monkeypatch.setattr(P, "SHARD_ITEMS", 10)
+    df = spark.createDataFrame([(i, 60) for i in range(30)], "doc long, n long")
+    rows = [tuple(x) for x in P.pack(df, "doc", F.col("n"), 100).collect()]
+    assert check(rows, [60] * 30, 100) == 30
+
+
+def test_rounds_end_with_real_sizes(spark, monkeypatch):
+    monkeypatch.setattr(P, "SHARD_ITEMS", 100)
+    r = random.Random(4)
+    sizes = [int(min(9000, r.lognormvariate(7.3, 0.8))) + 1 for _ in range(1200)]
+    df = spark.createDataFrame(list(enumerate(sizes)), "doc long, n long")
+    boxes = check([tuple(x) for x in P.pack(df, "doc", F.col("n"), 4096).collect()], sizes, 4096)
+    assert boxes <= 1.05 * sum(sizes) / 4096 + 2
+
+
+def test_repeated_ids_are_items_of_their_own(spark):
+    df = spark.createDataFrame([(1, 30), (1, 30), (1, 30), (1, 250), (2, 10)], "doc long, n long")
+    rows = P.pack(df, "doc", F.col("n"), 100).collect()
+    assert sorted((x.id, x.size) for x in rows) == [(1, 30), (1, 30), (1, 30), (1, 50), (1, 100), (1, 100), (2, 10)]
+    taken = sorted((x.container, x.offset, x.size) for x in rows)
+    assert all(a[0] != b[0] or a[1] + a[2] <= b[1] for a, b in zip(taken, taken[1:], strict=False))
+
+
 def test_empty(spark):
     assert P.pack(spark.createDataFrame([], "doc long, n long"), "doc", F.col("n"), 10).count() == 0
 
