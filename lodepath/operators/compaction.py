@@ -18,10 +18,13 @@ from pyspark.sql import functions as F
 
 from ..errors import IngestError
 from ..functions.jsontext import record_digest
-from ..session import materialise, small_join, spread
+from ..session import fits, materialise, spread
+from ..sources.snapshot import put_text
 
 #: Files that one task packs; a shard holds about so many whatever the directory they are in.
 SHARD_FILES = 50_000
+#: Bytes that are unzipped at once.
+BLOCK = 1 << 16
 #: Tasks that write bins; each writes its bins one after the other.
 MAX_TASKS = 20_000
 
@@ -32,21 +35,20 @@ def gunzip(data: bytes | None) -> bytes | None:
         return None
     out, rest = [], data
     while rest[:2] == b"\x1f\x8b":
-        z = zlib.decompressobj(31)
-        try:
-            out.append(z.decompress(rest))
-        except zlib.error:
-            z, part = zlib.decompressobj(31), []
-            try:  # byte by byte, to keep what comes before the error
-                for i in range(len(rest)):
-                    part.append(z.decompress(rest[i : i + 1]))
-            except zlib.error:
-                pass
-            out.append(b"".join(part))
-            break
-        if not z.eof:
+        z, at, step, broken = zlib.decompressobj(31), 0, BLOCK, False
+        while at < len(rest) and not z.eof:
+            before = z.copy()
+            try:
+                out.append(z.decompress(rest[at : at + step]))
+                at += step
+            except zlib.error:  # again from the same state in smaller steps, so that nothing before the error is lost
+                broken = step == 1
+                if broken:
+                    break
+                z, step = before, max(1, step // 16)
+        if broken or not z.eof:
             break
-        rest = z.unused_data
+        rest = z.unused_data + rest[at:]
     return b"".join(out) if out else None
 
 
@@ -107,6 +109,14 @@ def first_fit_decreasing(sizes: list[int], capacity: int) -> list[int]:
     return out
 
 
+def _shards(n_files: int) -> int:
+    return max(1, -(-n_files // SHARD_FILES))
+
+
+def _shard(shards: int):
+    return F.pmod(F.xxhash64("file_id"), F.lit(shards)).cast("int")
+
+
 def plan_bins(manifest: DataFrame, capacity: int) -> DataFrame:
     """(file_id, size_bytes, bin) of a manifest with file_id and size_bytes, bins of at most `capacity` bytes.
 
@@ -115,14 +125,14 @@ def plan_bins(manifest: DataFrame, capacity: int) -> DataFrame:
     decreasing. Null and negative sizes count as 0.
     """
     files = manifest.select("file_id", F.greatest(F.coalesce(F.col("size_bytes"), F.lit(0)), F.lit(0)).cast("long").alias("size_bytes"))
-    shards = max(1, -(-files.count() // SHARD_FILES))
+    shards = _shards(files.count())
 
     def pack(key, pdf):
         pdf = pdf.sort_values("file_id", ignore_index=True)
         pdf["bin"] = [f"{key[0]:06d}-{b:06d}" for b in first_fit_decreasing(pdf["size_bytes"].tolist(), capacity)]
         return pdf[["file_id", "size_bytes", "bin"]]
 
-    return files.withColumn("shard", F.pmod(F.xxhash64("file_id"), F.lit(shards)).cast("int")).groupBy("shard").applyInPandas(pack, "file_id long, size_bytes long, bin string")
+    return files.withColumn("shard", _shard(shards)).groupBy("shard").applyInPandas(pack, "file_id long, size_bytes long, bin string")
 
 
 def _checksum(df: DataFrame) -> tuple[int, str]:
@@ -131,12 +141,16 @@ def _checksum(df: DataFrame) -> tuple[int, str]:
     return int(r[0]), str(r[1] or 0)
 
 
+def _write_bins(rows: DataFrame, path: str) -> None:
+    rows.sortWithinPartitions("bin", "file_id").write.partitionBy("bin").option("compression", "zstd").parquet(path)
+
+
 def compact(files: DataFrame, out_dir: str, capacity: int = 128 << 20) -> dict:
     """Rewrite files (file_id, file_name, size_bytes, content) into out_dir, one Parquet file per bin; returns the commit record.
 
     The manifest is frozen first: it is written with the digests and all later steps read it. Rows go to a
     staging folder; what was written is read again and compared in count and checksum with the manifest, and only then
-    the folder is renamed to its version and CURRENT replaced. A failure before leaves the earlier version in place.
+    the folder is renamed to its version and CURRENT is replaced by one rename. A failure before leaves the earlier version in place.
     """
     spark = files.sparkSession
     frozen = materialise(digests(files))
@@ -146,28 +160,37 @@ def compact(files: DataFrame, out_dir: str, capacity: int = 128 << 20) -> dict:
     n_bins = bins.select("bin").distinct().count()
     version = f"v-{uuid.uuid4().hex}"
     staging = f"{out_dir}/_staging-{version}"
-    plan = bins.select("file_id", "bin").join(keep.select("file_id", "digest"), "file_id")
-    rows = small_join(files.select("file_id", "file_name", "content"), plan, ["file_id"])
-    # contents move once: the repartitioning by bin also serves to drop rows that repeat
-    spread = rows.repartition(min(max(1, n_bins), MAX_TASKS), "bin").dropDuplicates(["bin", "file_id"]).sortWithinPartitions("bin", "file_id")
-    spread.write.partitionBy("bin").option("compression", "zstd").parquet(staging)
+    plan = materialise(bins.select("file_id", "bin").join(keep.select("file_id", "digest"), "file_id"))
+    own = files.select("file_id", "file_name", "content")
+    # Contents move once. A plan of checked size goes to them, and they are parted by bin. A larger one meets them in the
+    # shards that bins were packed in: the shard follows from the id, so both sides are parted by it and joined in place.
+    if fits(plan):
+        rows = own.join(F.broadcast(plan), "file_id").repartition(min(max(1, n_bins), MAX_TASKS), "bin").dropDuplicates(["bin", "file_id"])
+        _write_bins(rows, staging)
+    else:
+        shards = _shards(keep.count())
+        key = "spark.sql.requireAllClusterKeysForCoPartition"
+        known = spark.conf.get(key)
+        spark.conf.set(key, "false")
+        try:
+            tasks = min(shards, MAX_TASKS)
+            a, b = (x.withColumn("shard", _shard(shards)).repartition(tasks, "shard") for x in (own, plan))
+            _write_bins(a.dropDuplicates(["shard", "file_id"]).join(b.hint("merge"), ["shard", "file_id"]).drop("shard"), staging)
+        finally:
+            spark.conf.set(key, known)
     want, got = _checksum(keep), (0, "0")
     if want[0]:
         again = digests(spark.read.parquet(staging)).filter("digest is not null")
         got = _checksum(again)
     if got != want:
         raise IngestError(f"compaction: wrote {got}, expected {want}; nothing was committed")
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    jvm = spark.sparkContext._jvm
     path = lambda p: jvm.org.apache.hadoop.fs.Path(f"{out_dir}/{p}")
-    fs = path("x").getFileSystem(conf)
+    fs = path("x").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.rename(path(f"_staging-{version}"), path(version)):
         raise IngestError("compaction: the staging folder could not be renamed")
     record = {"version": version, "rows": want[0], "checksum": want[1], "bins": n_bins, "left_out": frozen.count() - want[0]}
-    out = fs.create(path(f"_CURRENT-{version}"), True)
-    out.write(bytearray(json.dumps(record).encode()))
-    out.close()
-    fs.delete(path("CURRENT"), False)
-    fs.rename(path(f"_CURRENT-{version}"), path("CURRENT"))
+    put_text(spark, f"{out_dir}/CURRENT", json.dumps(record))
     return record
 
 

@@ -12,11 +12,17 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import fits, small_join
+from ..functions.expr import number_text
+from ..session import fits, materialise, small_join
 
-#: Texts longer than this are counted by digest; the profile shows their length and digest instead, and so many characters in a range.
+#: Texts longer than this are counted by length and digest, which the profile shows as the most frequent value; ranges are those of the texts themselves.
 LONG_TEXT = 128
 
+#: Rows of value counts up to which ranks are taken by a plain window.
+RANKED_ROWS = 2_000_000
+#: What no value of any column should hold: blanks at an end, control characters, the mark of a character that was lost.
+VIOLATION = r"^\s|\s$|[\x00-\x08\x0b\x0c\x0e-\x1f\x7f\ufffd]"
+
 _WS, _STR = r"[ \t\n\r]*+", r'"(?:[^"\\\x00-\x1f]++|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*+"'
 #: A JSON array of strings, by the grammar; from_json() alone also takes single quotes, trailing commas and the like.
 STRING_ARRAY = rf"^{_WS}\[{_WS}(?:{_STR}{_WS}(?:,{_WS}{_STR}{_WS})*+)?\]{_WS}$"
@@ -24,6 +30,8 @@ STRING_ARRAY = rf"^{_WS}\[{_WS}(?:{_STR}{_WS}(?:,{_WS}{_STR}{_WS})*+)?\]{_WS}$"
 
 def _whole_text(df: DataFrame, c: str) -> Column:
     kind = dict(df.dtypes)[c]
+    if kind in ("double", "float"):
+        return number_text(F.col(c).cast("double"))
     return F.col(c).cast("string") if kind not in ("binary",) and not kind.startswith(("array", "map", "struct")) else F.xxhash64(c).cast("string")
 
 
@@ -32,43 +40,46 @@ def _as_text(df: DataFrame, c: str) -> Column:
     return F.when(F.length(text) > LONG_TEXT, F.concat(F.lit("#"), F.length(text).cast("string"), F.lit(":"), F.sha2(text, 256))).otherwise(text)
 
 
-def _head(df: DataFrame, c: str) -> Column:
-    text = _whole_text(df, c)
-    return F.when(F.length(text) > LONG_TEXT, F.substring(text, 1, LONG_TEXT))
-
-
 def numeric_columns(df: DataFrame) -> list[str]:
     return [c for c, kind in df.dtypes if kind in ("tinyint", "smallint", "int", "bigint", "float", "double") or kind.startswith("decimal")]
 
 
-def value_counts(df: DataFrame, by: list[str], columns: list[str], heads: bool = False) -> DataFrame:
-    """(by..., column_name, value, n): how often each value, null too, stands in each column. One scan, one shuffle.
+def value_counts(df: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
+    """(by..., column_name, value, n): how often each value, null too, stands in each column. One scan, one shuffle."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), _as_text(df, c).alias("value")) for c in columns])
+    return df.select(*by, F.explode(pairs).alias("_p")).groupBy(*by, "_p.column_name", "_p.value").agg(F.count(F.lit(1)).alias("n"))
+
 
-    heads: also the start of each long text, as head.
+def value_ranges(df: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
+    """(by..., column_name, min_value, max_value, violations) of whole texts, however long; one row a group and task moves.
+
+    violations: non-null values that are empty, or have blanks at an end, control characters or U+FFFD.
     """
-    pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), _as_text(df, c).alias("value"), *([_head(df, c).alias("head")] if heads else [])) for c in columns])
-    return df.select(*by, F.explode(pairs).alias("_p")).groupBy(*by, "_p.column_name", "_p.value", *(["_p.head"] if heads else [])).agg(F.count(F.lit(1)).alias("n"))
+    named = {f"_{i}": _whole_text(df, c) for i, c in enumerate(columns)}
+    odd = lambda c: F.coalesce((c == "") | c.rlike(VIOLATION), F.lit(False))
+    texts = df.select(*by, *[c.alias(n) for n, c in named.items()])
+    # an aggregate with a list is hashed, not sorted, whatever it holds beside: so no wide row is ever sorted
+    all_ = texts.groupBy(*by).agg(F.collect_list(F.lit(None).cast("int")).alias("_none"), *[f(F.col(n)).alias(n + k) for n in named for k, f in (("l", F.min), ("h", F.max), ("v", lambda c: F.count_if(odd(c))))])
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(n + "l").alias("min_value"), F.col(n + "h").alias("max_value"), F.col(n + "v").alias("violations")) for n, c in zip(named, columns, strict=True)]))
+    return all_.filter(F.size("_none") == 0).select(*by, each.alias("_p")).select(*by, "_p.*")
 
 
 def profile(df: DataFrame, by: list[str], columns: list[str], numeric: list[str] = ()) -> DataFrame:
-    """One row for each group and column: rows, nulls, null_rate, distincts, min, max and the most frequent value.
+    """One row for each group and column: rows, nulls, null_rate, distincts, min, max, pattern violations and the most frequent value.
 
     Numeric columns get their range by number (in min_number, max_number; NaN counts as a value and is not in
-    the range). Ties of the most frequent value go to the smaller one. A column without values has nulls for the range.
-    Long texts are ranged by their first LONG_TEXT characters.
+    the range) and their texts as 10000000.0 and 1e-05. Ties of the most frequent value go to the smaller one; a long one is
+    shown by length and digest. A column without values has nulls for the range. Null groups are groups.
     """
     number = F.when(F.col("column_name").isin(list(numeric)), F.when(F.lower("value") != "nan", F.col("value").try_cast("double")))
-    return (
-        value_counts(df, by, columns, heads=True)
+    counted = (
+        value_counts(df, by, columns)
         .withColumn("number", number)
-        .withColumn("head", F.coalesce("head", "value"))
         .groupBy(*by, "column_name")
         .agg(
             F.sum("n").alias("rows"),
             F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("nulls"),
             F.count("value").alias("distincts"),
-            F.min("head").alias("min_value"),
-            F.max("head").alias("max_value"),
             F.min("number").alias("min_number"),
             F.max("number").alias("max_number"),
             F.max(F.when(F.col("value").isNotNull(), F.struct("n"))).getField("n").alias("top_count"),
@@ -76,15 +87,47 @@ def profile(df: DataFrame, by: list[str], columns: list[str], numeric: list[str]
         )
         .withColumn("null_rate", F.col("nulls") / F.col("rows"))
     )
+    ranges = value_ranges(df, by, columns)
+    left, right = counted.alias("a"), ranges.alias("b")
+    same = reduce(Column.__and__, [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in [*by, "column_name"]])
+    return left.join(right, same).select("a.*", "b.min_value", "b.max_value", "b.violations")
+
+
+def ranked(counts: DataFrame, by: list[str], value: str, n: str = "n", rows: int = RANKED_ROWS) -> DataFrame:
+    """counts with _upto, the rows of the group up to and with each value in order, and _all, the rows of the group.
+
+    counts: (by..., value, n), one row for each value. Up to `rows` rows, a plain window. Beyond, the counts are
+    cut into ranges, so that no group stays in one task: sums of ranges are added up (as many as there are ranges), and
+    windows run within ranges.
+    """
+    if fits(counts, rows):
+        return counts.withColumn("_upto", F.sum(n).over(Window.partitionBy(*by).orderBy(value))).withColumn("_all", F.sum(n).over(Window.partitionBy(*by)))
+    parts = max(2, int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    cut = materialise(counts.repartitionByRange(parts, *by, value).withColumn("_part", F.spark_partition_id()))
+    sums = cut.groupBy(*by, "_part").agg(F.sum(n).alias("_own"))
+    before = F.sum("_own").over(Window.partitionBy(*by).orderBy("_part")) - F.col("_own")
+    sums = sums.withColumn("_before", before).withColumn("_all", F.sum("_own").over(Window.partitionBy(*by))).drop("_own")
+    inside = F.sum(n).over(Window.partitionBy(*by, "_part").orderBy(value))
+    return small_join(cut.withColumn("_in", inside), sums, [*by, "_part"]).withColumn("_upto", F.col("_before") + F.col("_in")).select(*counts.columns, "_upto", "_all")
+
+
+def quantiles(counts: DataFrame, by: list[str], value: str, shares: dict[str, float], n: str = "n") -> DataFrame:
+    """(by..., one column for each share): exact quantiles, interpolated between the two rows that they fall between."""
+    r = ranked(counts, by, value, n)
+    out = []
+    for name, share in shares.items():
+        at = (F.col("_all") - 1) * F.lit(share)
+        low = F.min(F.when(F.col("_upto") >= F.floor(at) + 1, F.col(value)))
+        high = F.min(F.when(F.col("_upto") >= F.ceil(at) + 1, F.col(value)))
+        part = F.max(at - F.floor(at))
+        out.append((low * (1 - part) + high * part).alias(name))
+    return r.groupBy(*by).agg(*out)
 
 
 def weighted_median(counts: DataFrame, by: list[str], value: str, n: str = "n") -> DataFrame:
     """(by..., median): the exact median, the mean of the middle two, from value counts."""
-    w = Window.partitionBy(*by).orderBy(value)
-    whole = Window.partitionBy(*by)
-    ranked = counts.withColumn("_upto", F.sum(n).over(w)).withColumn("_all", F.sum(n).over(whole))
     lo, hi = F.floor((F.col("_all") + 1) / 2), F.floor(F.col("_all") / 2) + 1
-    return ranked.groupBy(*by).agg(((F.min(F.when(F.col("_upto") >= lo, F.col(value))) + F.min(F.when(F.col("_upto") >= hi, F.col(value)))) / 2).alias("median"))
+    return ranked(counts, by, value, n).groupBy(*by).agg(((F.min(F.when(F.col("_upto") >= lo, F.col(value))) + F.min(F.when(F.col("_upto") >= hi, F.col(value)))) / 2).alias("median"))
 
 
 def _previous(loads: DataFrame, group: str, load: str) -> DataFrame:
@@ -124,10 +167,8 @@ def share_shift(counts: DataFrame, pairs: DataFrame, load: str, eps: float = 1e-
 
 def quantile_edges(counts: DataFrame, by: list[str], value: str, bins: int) -> DataFrame:
     """(by..., edges): the distinct exact quantiles at 1/bins, 2/bins and so on, from value counts; each is a value that stands there."""
-    upto = F.sum("n").over(Window.partitionBy(*by).orderBy(value))
-    ranked = counts.withColumn("_upto", upto).withColumn("_all", F.sum("n").over(Window.partitionBy(*by)))
     edges = [F.min(F.when(F.col("_upto") * bins >= F.col("_all") * i, F.col(value))) for i in range(1, bins)]
-    return ranked.groupBy(*by).agg(F.array_distinct(F.array(*edges)).alias("edges"))
+    return ranked(counts, by, value).groupBy(*by).agg(F.array_distinct(F.array(*edges)).alias("edges"))
 
 
 def shifts(df: DataFrame, loads: DataFrame, group: str, load: str, columns: list[str], numeric: list[str] = (), bins: int = 10) -> DataFrame:
@@ -137,7 +178,7 @@ def shifts(df: DataFrame, loads: DataFrame, group: str, load: str, columns: list
     upper edge. NaN counts as a value of its own. A previous load without numbers has one bin.
     """
     pairs = _previous(loads, group, load)
-    counts = value_counts(df, [load], columns)
+    counts = materialise(value_counts(df, [load], columns))
     is_number = F.col("column_name").isin(list(numeric)) & F.col("value").isNotNull() & (F.lower("value") != "nan")
     number = F.when(is_number, F.col("value").try_cast("double"))
     numbers = counts.filter(is_number).groupBy(load, "column_name", number.alias("number")).agg(F.sum("n").alias("n"))
@@ -206,7 +247,7 @@ def changed_loads(checked: DataFrame, loads: DataFrame, group: str, load: str) -
     The previous load is the one before it, in order of id, among the loads of the group that have rows. Medians are compared if both loads have
     valid pay, shares if both have valid values; a load that is in no group is not compared.
     """
-    counts = checked.groupBy(load, "column_name", "value", "number", "valid").agg(F.count(F.lit(1)).alias("n"))
+    counts = materialise(checked.groupBy(load, "column_name", "value", "number", "valid").agg(F.count(F.lit(1)).alias("n")))
     nulls = counts.groupBy(load, "column_name").agg((F.sum(F.when(F.col("value").isNull(), F.col("n")).otherwise(0)) / F.sum("n")).alias("nulls"))
     there = nulls.select(load).distinct()
     pairs = _previous(loads.join(there, load, "left_semi"), group, load)

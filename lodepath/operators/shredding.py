@@ -17,6 +17,7 @@ first emitted with LONE marked, and resolved against the repeated fields of all
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Iterator
 
@@ -56,62 +57,70 @@ def _kind(value) -> str:
     return ARRAY if isinstance(value, list) else LONE if isinstance(value, dict) else LEAF
 
 
-def _grow(node: _Node, value, leaves: bool) -> None:
-    """Add to node's schema what value holds; texts that hold JSON are replaced in place."""
-    if isinstance(value, dict):
-        for name, x in value.items():
-            x = unwrap(x)
-            value[name] = x
-            kind = _kind(x)
-            if kind != LEAF:
-                _grow(node.kid(name, kind), x, leaves)
-            elif leaves:
-                node.kid(name, LEAF)
-    else:
-        for i, x in enumerate(value):
-            value[i] = x = unwrap(x)
-            if isinstance(x, dict):
-                _grow(node, x, leaves)
-            elif isinstance(x, list):
-                _grow(node.kid("", ARRAY), x, leaves)
-
-
-def _stripe(node: _Node, value, r: int, d: int) -> None:
-    rep, deep, values = node.column
-    if node.kind == LEAF:
-        rep.append(r)
-        deep.append(d + (value is not _GONE and value is not None))
-        values.append(value)
-        return
-    if node.kind == LONE:
-        there = isinstance(value, dict)
-        rep.append(r)
-        deep.append(d + there)
-        values.append(None)
-        _stripe_members(node, value if there else None, r, d + there)
-        return
-    if not isinstance(value, list) or not value:
-        rep.append(r)
-        deep.append(d + isinstance(value, list))
-        values.append(_GONE)
-        _stripe_members(node, None, r, d + isinstance(value, list))
-        return
-    for i, x in enumerate(value):
-        at = r if i == 0 else node.rep
-        rep.append(at)
-        deep.append(d + 2 + (x is not None))
-        values.append(x)
-        _stripe_members(node, x, at, d + 2 + (x is not None))
-
-
-def _stripe_members(node: _Node, x, r: int, d: int) -> None:
-    for (name, kind), kid in node.kids.items():
-        if node.kind == ARRAY and name == "" and kind == ARRAY and isinstance(x, list):
-            _stripe(kid, x, r, d)
-        elif isinstance(x, dict) and name in x and _kind(x[name]) == kind and not (name == "" and kind == ARRAY and node.kind == ARRAY and isinstance(x, list)):
-            _stripe(kid, x[name], r, d)
+def _grow(root: _Node, value, leaves: bool) -> None:
+    """Add to root's schema what value holds; texts that hold JSON are replaced in place."""
+    todo = [(root, value)]
+    while todo:
+        node, value = todo.pop()
+        if isinstance(value, dict):
+            for name, x in value.items():
+                value[name] = x = unwrap(x)
+                kind = _kind(x)
+                if kind != LEAF:
+                    todo.append((node.kid(name, kind), x))
+                elif leaves:
+                    node.kid(name, LEAF)
         else:
-            _stripe(kid, _GONE, r, d)
+            for i, x in enumerate(value):
+                value[i] = x = unwrap(x)
+                if isinstance(x, dict):
+                    todo.append((node, x))
+                elif isinstance(x, list):
+                    todo.append((node.kid("", ARRAY), x))
+
+
+def _stripe(root: _Node, value) -> None:
+    """Fill the columns below root, for one record. Members wait on a stack in the order of the record."""
+    todo: list[tuple[_Node, object, int, int]] = [(root, value, 0, 0)]
+    while todo:
+        owner, x, r, d = todo.pop()
+        nested = owner.kind == ARRAY and isinstance(x, list)  # an array's element that is an array
+        members = x if isinstance(x, dict) else None
+        for (name, kind), node in owner.kids.items():
+            if nested:
+                value = x if name == "" and kind == ARRAY else _GONE
+            elif members is not None and name in members and _kind(members[name]) == kind:
+                value = members[name]
+            else:
+                value = _GONE
+            rep, deep, values = node.column
+            if kind == LEAF:
+                rep.append(r)
+                deep.append(d + (value is not _GONE and value is not None))
+                values.append(value)
+            elif kind == LONE:
+                there = value is not _GONE
+                rep.append(r)
+                deep.append(d + there)
+                values.append(None)
+                if node.kids:
+                    todo.append((node, value if there else None, r, d + there))
+            elif value is _GONE or not value:
+                rep.append(r)
+                deep.append(d + (value is not _GONE))
+                values.append(_GONE)
+                if node.kids:
+                    todo.append((node, None, r, d + (value is not _GONE)))
+            else:
+                inside = []
+                for i, element in enumerate(value):
+                    at, level = r if i == 0 else node.rep, d + 2 + (element is not None)
+                    rep.append(at)
+                    deep.append(level)
+                    values.append(element)
+                    inside.append((node, element, at, level))
+                if node.kids:
+                    todo.extend(reversed(inside))
 
 
 def shred(text: str | None, leaves: bool = True) -> list[tuple[tuple[Step, ...], list[int], list[int], list]] | None:
@@ -132,12 +141,11 @@ def shred(text: str | None, leaves: bool = True) -> list[tuple[tuple[Step, ...],
         root = _Node((), LONE, 0)
         if isinstance(value, dict):
             _grow(root, value, leaves)
-            _stripe_members(root, value, 0, 0)
+            _stripe(root, value)
         elif isinstance(value, list):
-            kid = root.kid("", ARRAY)
-            _grow(kid, value, leaves)
-            _stripe(kid, value, 0, 0)
-    except (ValueError, RecursionError):
+            _grow(root.kid("", ARRAY), value, leaves)
+            _stripe(root, {"": value})
+    except ValueError:
         return None
     out, todo = [], list(root.kids.values())
     while todo:
@@ -175,23 +183,31 @@ def positions(steps: tuple[Step, ...], rep: list[int], deep: list[int], less: in
             yield i, at[:]
 
 
-def render(steps: tuple[Step, ...], at: list[int]) -> str:
-    """Names joined by dots, positions in brackets, lone objects marked."""
-    out, k = [], 0
+def template(steps: tuple[Step, ...]) -> str:
+    """Names joined by dots, a place for each array's position in brackets, lone objects marked; to be filled with % ."""
+    out = []
     for name, kind in steps:
         if name or kind != ARRAY:
-            out.append(("." if out else "") + name)
+            out.append(("." if out else "") + name.replace("%", "%%"))
         if kind == ARRAY:
-            out.append(f"[{at[k]}]")
-            k += 1
+            out.append("[%d]")
         elif kind == LONE:
             out.append(MARK)
     return "".join(out)
 
 
-def chain(steps: tuple[Step, ...]) -> str:
-    """The fields down to a step, without positions and kinds, as JSON array text."""
-    return json.dumps([name for name, kind in steps if name or kind != ARRAY])
+def chains(steps: tuple[Step, ...]) -> list[str]:
+    """For each step a digest of the fields down to it, without positions and kinds; of one length, however deep the field is."""
+    out, last = [], b""
+    for name, kind in steps:
+        if name or kind != ARRAY:
+            last = hashlib.blake2b(last + b"\0" + name.encode("utf-8", "surrogatepass"), digest_size=12).digest()
+        out.append(last.hex())
+    return out
+
+
+def _marks(steps: tuple[Step, ...], digests: list[str]) -> list[str]:
+    return [digest for digest, (_, kind) in zip(digests, steps, strict=True) if kind == LONE]
 
 
 def objects(columns) -> Iterator[tuple[str, str, bool, list[str]]]:
@@ -200,20 +216,13 @@ def objects(columns) -> Iterator[tuple[str, str, bool, list[str]]]:
         kind = steps[-1][1]
         if kind == LEAF:
             continue
-        full, key, marks = _levels(steps)[-1], "", []
+        full, shape = _levels(steps)[-1], ""
         for i, at in positions(steps, rep, deep):
             if deep[i] >= full and (kind == LONE or isinstance(values[i], dict)):
-                if not key:
-                    key, marks = chain(steps), [chain(steps[: j + 1]) for j, s in enumerate(steps) if s[1] == LONE]
-                yield render(steps, at), key, kind == ARRAY, marks
-
-
-def _text(value) -> str | None:
-    if value is None or value is _GONE:
-        return None
-    if isinstance(value, Number):
-        return value.text
-    return value if isinstance(value, str) else json.dumps(value)
+                if not shape:
+                    shape, digests = template(steps), chains(steps)
+                    marks = _marks(steps, digests)
+                yield shape % tuple(at), digests[-1], kind == ARRAY, marks
 
 
 _OBJECTS = "id long, blob string, path string, chain string, element boolean, marks array<string>"
@@ -285,15 +294,21 @@ def assemble(columns) -> Iterator[tuple[str, str, str, str, bool, list[str], lis
     as [] in its parent. A scalar element, or null, is a field without a name in its own row.
     """
     rows: dict[tuple[str, str], list] = {}
+    shapes: dict[tuple[Step, ...], tuple] = {}
 
     def row(steps: tuple[Step, ...], at: list[int]) -> list:
-        key = (render(steps, at), "".join(k for _, k in steps))
-        if key not in rows:
-            up = steps[:-1]
+        shape = shapes.get(steps)
+        if shape is None:
             level = ".".join(n + (ARRAY if k == ARRAY else "") for n, k in steps).replace(".[]", "[]")
-            marks = [chain(steps[: j + 1]) for j, s in enumerate(steps) if s[1] == LONE]
-            rows[key] = [key[0], render(up, at) if steps else None, level, chain(steps), bool(steps) and steps[-1][1] == ARRAY, marks, []]
-        return rows[key]
+            digests = chains(steps)
+            up = None if not steps else (template(steps[:-1]), sum(k == ARRAY for _, k in steps[:-1]))
+            shape = shapes[steps] = (template(steps), "".join(k or "-" for _, k in steps), up, level, digests[-1] if digests else "", bool(steps) and steps[-1][1] == ARRAY, _marks(steps, digests))
+        path, kinds, up, level, own, element, marks = shape
+        key = (path % tuple(at), kinds)
+        found = rows.get(key)
+        if found is None:
+            found = rows[key] = [key[0], up and up[0] % tuple(at[: up[1]]), level, own, element, marks, []]
+        return found
 
     row((), [])
     for steps, rep, deep, values in columns:

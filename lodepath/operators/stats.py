@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..errors import StatsUnavailable
 from ..functions import expr
 from ..schema import FILL_COLUMNS, JOBS, KEY, PAGE_COLUMNS, SEARCH_COLUMNS, check_column
+from .profiling import quantiles
 
 PAGE_SIZE = 200
 
@@ -100,17 +101,22 @@ def multi_breakdown_totals(jobs: DataFrame, column: str, include_expired: bool =
 
 
 def compensation(jobs: DataFrame, include_expired: bool = False) -> DataFrame:
-    """Per listed currency: rows and exact quartiles of each bound, by rows and currency; bounds of 0 or less count as absent."""
+    """Per listed currency: rows and exact quartiles of each bound, by rows and currency; bounds of 0 or less count as absent.
+
+    Quartiles come from counts of values, so that a currency of most rows moves one row for each of its values and task.
+    """
     low, high = (F.when(F.col(c) > 0, F.col(c)) for c in ("yearly_min_compensation", "yearly_max_compensation"))
     paid = _rows(jobs, include_expired).select(expr.label(F.col("listed_compensation_currency")).alias("currency"), low.alias("lo"), high.alias("hi"))
-    quarters = lambda c: F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    grouped = (
-        paid.filter("currency is not null and (lo is not null or hi is not null)")
-        .groupBy("currency")
-        .agg(F.count(F.lit(1)).alias("jobs"), F.count("lo").alias("min_jobs"), quarters("lo").alias("a"), F.count("hi").alias("max_jobs"), quarters("hi").alias("b"))
-    )
-    named = [F.get("a", i).alias(f"min_{q}") for i, q in enumerate(("p25", "median", "p75"))], [F.get("b", i).alias(f"max_{q}") for i, q in enumerate(("p25", "median", "p75"))]
-    return grouped.select("currency", "jobs", "min_jobs", *named[0], "max_jobs", *named[1]).orderBy(F.col("jobs").desc(), "currency")
+    pairs = paid.filter("currency is not null and (lo is not null or hi is not null)").groupBy("currency", "lo", "hi").agg(F.count(F.lit(1)).alias("n"))
+    sides = F.explode(F.array(F.struct(F.lit("min").alias("side"), F.col("lo").alias("pay")), F.struct(F.lit("max").alias("side"), F.col("hi").alias("pay"))))
+    values = pairs.select("currency", "n", sides.alias("s")).filter("s.pay is not null").groupBy("currency", "s.side", "s.pay").agg(F.sum("n").alias("n"))
+    quarters = quantiles(values, ["currency", "side"], "pay", {"p25": 0.25, "median": 0.5, "p75": 0.75})
+    both = pairs.groupBy("currency").agg(F.sum("n").alias("jobs"), *[F.coalesce(F.sum(F.when(F.col(c).isNotNull(), F.col("n"))), F.lit(0)).alias(name) for c, name in (("lo", "min_jobs"), ("hi", "max_jobs"))])
+    for side in ("min", "max"):
+        own = quarters.filter(F.col("side") == side).select("currency", *[F.col(q).alias(f"{side}_{q}") for q in ("p25", "median", "p75")])
+        both = both.join(own, "currency", "left")
+    named = lambda side: [f"{side}_{q}" for q in ("p25", "median", "p75")]
+    return both.select("currency", "jobs", "min_jobs", *named("min"), "max_jobs", *named("max")).orderBy(F.col("jobs").desc(), "currency")
 
 
 def compensation_coverage(jobs: DataFrame, include_expired: bool = False) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,11 +35,13 @@ def session(app: str = "lodepath", master: str | None = None, **conf: str) -> Sp
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, set here only where it is unset."""
+    """The folder all executors share: spark.checkpoint.dir. Where that is unset, a new folder in local mode; an error on a cluster, whose machines share none by themselves."""
     sc = spark.sparkContext
     at = sc.getCheckpointDir()
     if at is None:
         named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not named and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError(f"spark.checkpoint.dir is not set: {sc.master} needs a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="lodepath-"))
         at = sc.getCheckpointDir()
     return at
@@ -53,15 +56,25 @@ def _delete(spark: SparkSession, path: str) -> None:
         pass
 
 
-def release() -> None:
-    """Delete every table written by materialise() and every shared_folder(); results that read them are unusable afterwards."""
-    while _written:
+def release(since: int = 0) -> None:
+    """Delete every table written by materialise() and every shared_folder(), or those since the first so many; results that read them are unusable afterwards."""
+    while len(_written) > since:
         _delete(*_written.pop())
 
 
 atexit.register(release)
 
 
+@contextmanager
+def scratch():
+    """A block at whose end the tables written within it are deleted: for long sessions, around a query and the use of its result."""
+    since = len(_written)
+    try:
+        yield
+    finally:
+        release(since)
+
+
 def shared_folder(spark: SparkSession, kind: str) -> str:
     """A new folder's path in the shared folder, which release() deletes as well."""
     path = f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"

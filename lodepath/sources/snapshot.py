@@ -16,6 +16,24 @@ from pyspark.sql import DataFrame, SparkSession
 from ..errors import IngestError, StatsUnavailable
 
 
+def put_text(spark: SparkSession, path: str, text: str) -> None:
+    """Put a small file in place by one rename that replaces what stands there: readers see the old text or the new one, never neither."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(conf)
+    new = jvm.org.apache.hadoop.fs.Path(target.getParent(), f".{target.getName()}-{uuid.uuid4().hex}")
+    out = fs.create(new, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    how = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    how[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    try:
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), conf).rename(new, target, how)
+    except Exception as e:  # noqa: BLE001
+        fs.delete(new, False)
+        raise IngestError(f"{path} could not be replaced: {e}") from e
+
+
 class Snapshots:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -59,17 +77,7 @@ class Snapshots:
         for name, df in tables.items():
             df.write.option("compression", "zstd").parquet(f"{self.root}/{version}/{name}")
         record = record | {"version": version}
-        fs, new = self._fs(), self._path(f".CURRENT-{version}")
-        out = fs.create(new, True)
-        out.write(bytearray(json.dumps(record).encode()))
-        out.close()
-        context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(new.getFileSystem(self._conf).getUri(), self._conf)
-        how = self.spark.sparkContext._gateway.new_array(self._jvm.org.apache.hadoop.fs.Options.Rename, 1)
-        how[0] = self._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-        try:
-            context.rename(new, self._path("CURRENT"), how)
-        except Exception as e:  # noqa: BLE001
-            raise IngestError(f"version {version} could not be made current: {e}") from e
+        put_text(self.spark, f"{self.root}/CURRENT", json.dumps(record))
         return record
 
     def info(self) -> dict:
