@@ -13,7 +13,7 @@ def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="lodepath")
     sub = p.add_subparsers(dest="what", required=True)
     a = sub.add_parser("ingest")
-    a.add_argument("json_dir"), a.add_argument("out_dir"), a.add_argument("--limit", type=int), a.add_argument("--full", action="store_true")
+    a.add_argument("json_dir"), a.add_argument("out_dir"), a.add_argument("--limit", type=int), a.add_argument("--full", action="store_true"), a.add_argument("--json", action="store_true")
     a = sub.add_parser("stats")
     a.add_argument("out_dir")
     a = sub.add_parser("search")
@@ -30,7 +30,9 @@ def main(argv: list[str] | None = None) -> int:
     spark = session()
     try:
         if args.what == "ingest":
-            print(report(run_ingest(spark, args.json_dir, args.out_dir, args.limit, args.full, lambda m: print(m, file=sys.stderr))))
+            # errors of single files are counted, not raised: they do not make the run fail
+            result = run_ingest(spark, args.json_dir, args.out_dir, args.limit, args.full, lambda m: print(m, file=sys.stderr))
+            print(result.line() if args.json else report(result))
             return 0
         jobs = Snapshots(spark, args.out_dir).read("jobs")
         if args.what == "stats":

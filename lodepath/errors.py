@@ -15,3 +15,7 @@ class ScrapeError(RuntimeError):
 
 class ScrapeCancelled(ScrapeError):
     """The caller asked to stop."""
+
+
+class Cancelled(RuntimeError):
+    """A run was stopped by its caller; what it would have committed is not committed."""

@@ -291,3 +291,18 @@ def bar(share: float, width: int = 20) -> str:
     return "█" * full + "░" * (width - full)
 
 
+def count_text(n: int | None) -> str:
+    """A number with separators; a dash for none."""
+    return "-" if n is None else f"{n:,}"
+
+
+def megabytes(n: int | None) -> str:
+    """Bytes in MB of 10^6; a dash for none."""
+    return "-" if n is None else f"{n / 1e6:,.1f} MB"
+
+
+def bars(buckets: tuple[Bucket, ...], width: int = 20) -> str:
+    """Labels, counts and bars in proportion to the greatest count; no lines for no buckets."""
+    most = max((b.count for b in buckets), default=0)
+    longest = max((len(b.label or "-") for b in buckets), default=0)
+    return "\n".join(f"{b.label or '-':<{longest}} {count_text(b.count):>10} {bar(b.count / most if most else 0, width)}" for b in buckets)

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import atexit
 import tempfile
+import threading
 import uuid
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .errors import Cancelled
+
 #: Rows up to which a side may be broadcast; joins with more use a salted shuffle.
 BROADCAST_ROWS = 100_000
 #: Copies of the smaller side in a salted join.
@@ -75,6 +78,38 @@ def scratch():
         release(since)
 
 
+@contextmanager
+def cancellable(spark: SparkSession, stop: threading.Event | None):
+    """A block whose Spark jobs are cancelled when stop is set by another thread; the block then ends with Cancelled."""
+    if stop is None:
+        yield
+        return
+    sc, tag, done = spark.sparkContext, f"lodepath-{uuid.uuid4().hex}", threading.Event()
+
+    def watch():
+        while not done.is_set():
+            if stop.wait(0.2):
+                while not done.wait(0.2):  # jobs that start meanwhile go as well
+                    sc.cancelJobsWithTag(tag)
+                return
+
+    watcher = threading.Thread(target=watch, daemon=True)
+    sc.addJobTag(tag)
+    watcher.start()
+    try:
+        if stop.is_set():
+            raise Cancelled("cancelled")
+        yield
+    except Exception as e:
+        if stop.is_set():
+            raise Cancelled("cancelled") from e
+        raise
+    finally:
+        done.set()
+        sc.removeJobTag(tag)
+        watcher.join()
+
+
 def shared_folder(spark: SparkSession, kind: str) -> str:
     """A new folder's path in the shared folder, which release() deletes as well."""
     path = f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
