@@ -166,6 +166,15 @@ def search_total(jobs: DataFrame, query: str = "", include_description: bool = F
     return _matching(jobs, query, include_description, include_expired).agg(F.count(F.lit(1)).alias("total"))
 
 
+def page_states(jobs: DataFrame, query: str = "", size: int = PAGE_SIZE) -> DataFrame:
+    """(page_offset, next_offset, previous_offset) of each page of a search; the last page has no next one, the first is its own previous."""
+    found = search_total(jobs, query)
+    starts = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("total") - 1, F.lit(0)), F.lit(_positive("size", size)).cast("long")))
+    paged = found.select("total", starts.alias("page_offset"))
+    after = F.col("page_offset") + size
+    return paged.select("page_offset", F.when(after < F.col("total"), after).alias("next_offset"), F.greatest(F.col("page_offset") - size, F.lit(0)).cast("long").alias("previous_offset"))
+
+
 # --- values ----------------------------------------------------------------------------------
 
 

@@ -17,6 +17,8 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from typing import Any, Protocol
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..errors import ScrapeCancelled, ScrapeError
@@ -174,6 +176,18 @@ def wanted(hits: list[Any], seen: set[str]) -> list[dict]:
     return [h for h in hits if isinstance(h, dict) and not h.get("is_pinned") and h.get("requisition_id") and h.get("id") not in seen]
 
 
+def wanted_hits(hits: DataFrame, run: str, page: str) -> DataFrame:
+    """wanted() over a log of hits: those with a key whose id stands on no earlier page of their run. is_pinned, if there, must not be true.
+
+    Repeated hits of one page stay. A null id is never seen before. The earliest page of an id is a partially
+    aggregated minimum, so a hit that stands on most pages is not gathered.
+    """
+    open_ = hits.filter("requisition_id is not null" + (" and is_pinned is not true" if "is_pinned" in hits.columns else ""))
+    first = open_.filter("id is not null").groupBy(F.col(run).alias("_run"), F.col("id").alias("_id")).agg(F.min(page).alias("_first"))
+    same = (F.col("_id") == F.col("id")) & F.col("_run").eqNullSafe(F.col(run))
+    return open_.join(first, same, "left").filter(F.col("_first").isNull() | (F.col(page) == F.col("_first"))).select(*hits.columns)
+
+
 def scrape(config: ScrapeConfig, client: Client, stop: threading.Event | None = None) -> Iterator[ScrapeEvent]:
     """Events of a run, pulled one by one; arguments are checked at the call. Cancelling takes effect after the current request."""
     config.check()

@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -154,3 +155,24 @@ def test_canonical():
     same = ['{"a":1,"b":"\\u0041"}', ' {"b" : "A", "a":1}']
     assert len({canonical(parse_exact(x)) for x in same}) == 1
     assert len({canonical(parse_exact(x)) for x in ('{"a":1}', '{"a":1.0}', '{"a":"1"}')}) == 3
+
+
+@pytest.mark.parametrize("deep", [400, 2500])
+def test_deep_records_are_shredded_whole(deep):
+    """Lone objects, arrays in arrays, and arrays of objects, each nested beyond Python's own limit."""
+    lone = S.shred('{"a":' * deep + "1" + "}" * deep)
+    assert len(lone) == deep and sum(steps[-1][1] == S.LEAF for steps, *_ in lone) == 1
+    lists = S.shred("[" * deep + "1" + "]" * deep)
+    assert max(len(S.positions(steps, rep, found) and list(S.positions(steps, rep, found))[0][1]) for steps, rep, found, _ in lists) == deep
+    mixed = S.shred('{"a":[null,' * deep + "{}" + "]}" * deep)
+    paths = [path for path, *_ in S.objects(mixed)]
+    assert len(paths) == deep and max(paths, key=len) == ".".join(["a[1]"] * deep)
+
+
+def test_deep_rows(spark):
+    text = '{"a":[' * 300 + '{"v":7}' + "]}" * 300
+    df = spark.createDataFrame([(1, text)], "row_id long, b string")
+    assert S.found_objects(df, "row_id", ["b"]).count() == 300
+    rows = S.flat_tables(df, "row_id", ["b"]).collect()
+    last = max(rows, key=lambda r: len(r.path))
+    assert len(rows) == 301 and last.fields == {"v": "7"} and last.parent_path == last.path[: -len(".a[0]")]
