@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..operators import compaction, drift, profiling, shredding
 from ..session import materialise, shared_folder, table
+from . import problem_sql
 
-BLOBS = ["v5_processed_job_data_json", "enriched_company_data_json", "job_information_json"]
+BLOBS = problem_sql.BLOBS
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -126,4 +127,4 @@ UNION
 SELECT a.load_id, 0, a.c FROM pairs JOIN s a USING (load_id) JOIN s b ON b.load_id = prev AND b.c = a.c
 WHERE abs(a.nulls - b.nulls) >= 0.2 - 1e-12 OR greatest(a.med, b.med) >= 1.4 * least(a.med, b.med) - 1e-12
 UNION SELECT load_id, 0, c FROM moved WHERE half >= 0.25 - 1e-12""",
-}
+} | problem_sql.ORACLE
