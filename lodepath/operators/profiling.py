@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import number_text
-from ..session import fits, materialise, small_join
+from ..session import fits, materialise, small_join, spread
 
 #: Texts longer than this are counted by length and digest, which the profile shows as the most frequent value; ranges are those of the texts themselves.
 LONG_TEXT = 128
@@ -21,7 +21,8 @@ LONG_TEXT = 128
 #: Rows of value counts up to which ranks are taken by a plain window.
 RANKED_ROWS = 2_000_000
 #: What no value of any column should hold: blanks at an end, control characters, the mark of a character that was lost.
-VIOLATION = r"^\s|\s$|[\x00-\x08\x0b\x0c\x0e-\x1f\x7f\ufffd]"
+VIOLATION = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f\ufffd]"
+BLANKS = " \t\n\x0b\x0c\r"
 
 _WS, _STR = r"[ \t\n\r]*+", r'"(?:[^"\\\x00-\x1f]++|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*+"'
 #: A JSON array of strings, by the grammar; from_json() alone also takes single quotes, trailing commas and the like.
@@ -30,13 +31,13 @@ STRING_ARRAY = rf"^{_WS}\[{_WS}(?:{_STR}{_WS}(?:,{_WS}{_STR}{_WS})*+)?\]{_WS}$"
 
 def _whole_text(df: DataFrame, c: str) -> Column:
     kind = dict(df.dtypes)[c]
-    if kind in ("double", "float"):
-        return number_text(F.col(c).cast("double"))
     return F.col(c).cast("string") if kind not in ("binary",) and not kind.startswith(("array", "map", "struct")) else F.xxhash64(c).cast("string")
 
 
 def _as_text(df: DataFrame, c: str) -> Column:
     text = _whole_text(df, c)
+    if dict(df.dtypes)[c] != "string":
+        return text
     return F.when(F.length(text) > LONG_TEXT, F.concat(F.lit("#"), F.length(text).cast("string"), F.lit(":"), F.sha2(text, 256))).otherwise(text)
 
 
@@ -47,7 +48,9 @@ def numeric_columns(df: DataFrame) -> list[str]:
 def value_counts(df: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
     """(by..., column_name, value, n): how often each value, null too, stands in each column. One scan, one shuffle."""
     pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), _as_text(df, c).alias("value")) for c in columns])
-    return df.select(*by, F.explode(pairs).alias("_p")).groupBy(*by, "_p.column_name", "_p.value").agg(F.count(F.lit(1)).alias("n"))
+    counted = spread(df.select(*dict.fromkeys([*by, *columns]))).select(*by, F.explode(pairs).alias("_p")).groupBy(*by, "_p.column_name", "_p.value").agg(F.count(F.lit(1)).alias("n"))
+    doubles = [c for c in columns if dict(df.dtypes)[c] in ("double", "float")]  # each distinct value is written out once
+    return counted.withColumn("value", F.when(F.col("column_name").isin(doubles), number_text(F.col("value").try_cast("double"))).otherwise(F.col("value"))) if doubles else counted
 
 
 def value_ranges(df: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
@@ -56,8 +59,8 @@ def value_ranges(df: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
     violations: non-null values that are empty, or have blanks at an end, control characters or U+FFFD.
     """
     named = {f"_{i}": _whole_text(df, c) for i, c in enumerate(columns)}
-    odd = lambda c: F.coalesce((c == "") | c.rlike(VIOLATION), F.lit(False))
-    texts = df.select(*by, *[c.alias(n) for n, c in named.items()])
+    odd = lambda c: F.coalesce((c == "") | F.substring(c, 1, 1).isin(list(BLANKS)) | F.substring(c, -1, 1).isin(list(BLANKS)) | c.rlike(VIOLATION), F.lit(False))
+    texts = spread(df.select(*dict.fromkeys([*by, *columns]))).select(*by, *[c.alias(n) for n, c in named.items()])
     # an aggregate with a list is hashed, not sorted, whatever it holds beside: so no wide row is ever sorted
     all_ = texts.groupBy(*by).agg(F.collect_list(F.lit(None).cast("int")).alias("_none"), *[f(F.col(n)).alias(n + k) for n in named for k, f in (("l", F.min), ("h", F.max), ("v", lambda c: F.count_if(odd(c))))])
     each = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(n + "l").alias("min_value"), F.col(n + "h").alias("max_value"), F.col(n + "v").alias("violations")) for n, c in zip(named, columns, strict=True)]))
@@ -68,7 +71,7 @@ def profile(df: DataFrame, by: list[str], columns: list[str], numeric: list[str]
     """One row for each group and column: rows, nulls, null_rate, distincts, min, max, pattern violations and the most frequent value.
 
     Numeric columns get their range by number (in min_number, max_number; NaN counts as a value and is not in
-    the range) and their texts as 10000000.0 and 1e-05. Ties of the most frequent value go to the smaller one; a long one is
+    the range), others by their whole texts (in min_value, max_value); only the latter have violations. Numbers are shown as 10000000.0 and 1e-05. Ties of the most frequent value go to the smaller one; a long one is
     shown by length and digest. A column without values has nulls for the range. Null groups are groups.
     """
     number = F.when(F.col("column_name").isin(list(numeric)), F.when(F.lower("value") != "nan", F.col("value").try_cast("double")))
@@ -87,10 +90,10 @@ def profile(df: DataFrame, by: list[str], columns: list[str], numeric: list[str]
         )
         .withColumn("null_rate", F.col("nulls") / F.col("rows"))
     )
-    ranges = value_ranges(df, by, columns)
+    ranges = value_ranges(df, by, [c for c in columns if c not in numeric])
     left, right = counted.alias("a"), ranges.alias("b")
     same = reduce(Column.__and__, [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in [*by, "column_name"]])
-    return left.join(right, same).select("a.*", "b.min_value", "b.max_value", "b.violations")
+    return left.join(right, same, "left").select("a.*", "b.min_value", "b.max_value", F.coalesce("b.violations", F.lit(0)).alias("violations"))
 
 
 def ranked(counts: DataFrame, by: list[str], value: str, n: str = "n", rows: int = RANKED_ROWS) -> DataFrame:

@@ -82,12 +82,13 @@ _COUNTED = lambda t: f"CASE WHEN length({t}) > {_LONG} THEN '#' || length({t}) |
 _ODD = r"(t = '' OR regexp_matches(t, '^\s|\s$|[\x00-\x08\x0b\x0c\x0e-\x1f\x7f\x{FFFD}]'))"
 _NUMBER = lambda c: f"CASE WHEN NOT isnan({c}::DOUBLE) THEN {c}::DOUBLE END" if c in _NUMERIC else "NULL::DOUBLE"
 _CELLS = " UNION ALL ".join(f"SELECT load_id, '{c}' AS column_name, CAST({c} AS VARCHAR) AS t, {_NUMBER(c)} AS x FROM jobs" for c in _KINDS)
+_NAMES = ", ".join(f"'{c}'" for c in _NUMERIC)
 P6_PROFILE = f"""
 WITH c AS MATERIALIZED ({_CELLS}),
 v AS (SELECT load_id, column_name, {_COUNTED('t')} AS value, count(*) AS n FROM c GROUP BY ALL),
 top AS (SELECT load_id, column_name, value AS top_value, n AS top_count FROM v WHERE value IS NOT NULL QUALIFY row_number() OVER (PARTITION BY load_id, column_name ORDER BY n DESC, value) = 1),
-a AS (SELECT load_id, column_name, count(*) AS rows, count(*) - count(t) AS nulls, count(DISTINCT {_COUNTED('t')}) AS distincts, min(t) AS min_value, max(t) AS max_value, min(x) AS min_number, max(x) AS max_number,
-      count(*) FILTER (coalesce({_ODD}, false)) AS violations, (count(*) - count(t)) / count(*)::DOUBLE AS null_rate FROM c GROUP BY ALL)
+a AS (SELECT load_id, column_name, count(*) AS rows, count(*) - count(t) AS nulls, count(DISTINCT {_COUNTED('t')}) AS distincts, min(t) FILTER (column_name NOT IN ({_NAMES})) AS min_value, max(t) FILTER (column_name NOT IN ({_NAMES})) AS max_value, min(x) AS min_number, max(x) AS max_number,
+      count(*) FILTER (column_name NOT IN ({_NAMES}) AND coalesce({_ODD}, false)) AS violations, (count(*) - count(t)) / count(*)::DOUBLE AS null_rate FROM c GROUP BY ALL)
 SELECT a.*, top_value, top_count FROM a LEFT JOIN top USING (load_id, column_name)"""
 _PAIRS = "SELECT load_id, lag(load_id) OVER (PARTITION BY root_dir ORDER BY load_id) AS previous FROM (SELECT DISTINCT root_dir, load_id FROM ingest_runs) QUALIFY previous IS NOT NULL"
 _EDGES = ", ".join(f"min(x) FILTER (upto * 10 >= al * {i})" for i in range(1, 10))
