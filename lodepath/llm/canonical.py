@@ -107,19 +107,40 @@ def _abbreviates(short: str, long: str) -> bool:
     return short[-1] == long[-1] and all(c in rest for c in short)
 
 
-def _spread(with_short: bool):
-    """(token, key): under which keys a token may meet a reference token."""
+#: Letters of the longest short form; what is a misspelt one has one more at most.
+LONGEST_SHORT = max(map(len, SHORT_FORMS))
+
+
+def _abbreviation_keys(t: str, as_short: bool) -> set[str]:
+    """Keys that a short form of a word shares with it: its beginning, or its first, second, third and last letters in order.
+
+    A short form has one key of each kind. A word has one for each of its beginnings, and one for each way to leave
+    letters out between the four, so that unlike words that begin and end alike seldom meet.
+    """
+    if len(t) < 3:
+        return set()
+    if as_short:
+        return {"^" + t, f"~{t[0]}{t[1]}{t[2] if len(t) > 3 else ''}~{t[-1]}"}
+    inner = t[1:-1]
+    out = {"^" + t[:n] for n in range(3, int(0.75 * len(t)) + 1)}
+    out |= {f"~{t[0]}{a}~{t[-1]}" for a in set(inner)}
+    return out | {f"~{t[0]}{inner[i]}{inner[j]}~{t[-1]}" for i in range(len(inner)) for j in range(i + 1, len(inner))}
+
+
+def _spread(with_short: bool, longest: int):
+    """(token, key): under which keys a token may meet a reference token, whose letters are `longest` at most."""
 
     def run(batches):
         for batch in batches:
             out = []
             for t in batch.column(0).to_pylist():
-                out += [(t, "=" + k) for k in deletions(t, 2 if len(t) > 9 else 1 if len(t) > 2 else 0)] if len(t) <= 40 else [(t, "=" + t)]
-                if 3 <= len(t) <= 40:
-                    out += [(t, f"~{t[0]}{t[-1]}"), (t, "^" + t[:3])]
+                if with_short and len(t) > longest + allowed(longest):
+                    continue  # more letters than any reference token and its edits: it meets none
+                out += [(t, "=" + k) for k in deletions(t, 2 if len(t) > 9 else 1 if len(t) > 2 else 0)]
+                out += [(t, k) for k in _abbreviation_keys(t, with_short)]
                 if with_short:
                     out += [(t, "=" + w) for w in SHORT_FORMS.get(t, "").split()]
-                    out += [(t, "'" + k) for k in deletions(t, 1)] if 2 < len(t) < 7 else []
+                    out += [(t, "'" + k) for k in deletions(t, 1)] if 2 < len(t) <= LONGEST_SHORT + 1 else []
                 else:
                     out += [(t, "'" + k) for s in FORMS_OF.get(t, ()) if len(s) > 2 for k in deletions(s, 1)]
             cols = list(zip(*out, strict=True)) if out else [[], []]
@@ -150,12 +171,18 @@ def _compare(batches):
 
 
 def match_tokens(distinct: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """(token, word, sim) of the pairs of tokens that may stand for each other, joined on keys, never crossed."""
+    """(token, word, sim) of the pairs of tokens that may stand for each other, joined on keys, never crossed.
+
+    No token is left out for its length: one that is longer than every reference token by more than the edits allowed
+    has no partner.
+    """
     tasks = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    left = distinct.select("token").repartition(tasks, "token").mapInArrow(_spread(True), "token string, key string")
-    right = vocabulary.select(F.col("word").alias("token")).mapInArrow(_spread(False), "token string, key string").withColumnRenamed("token", "word")
+    longest = vocabulary.agg(F.max(F.length("word"))).first()[0] or 0
+    left = distinct.select("token").repartition(tasks, "token").mapInArrow(_spread(True, longest), "token string, key string")
+    right = vocabulary.select(F.col("word").alias("token")).mapInArrow(_spread(False, longest), "token string, key string").withColumnRenamed("token", "word")
     pairs = left.join(right, "key").select("token", "word").distinct()
-    return pairs.mapInArrow(_compare, "token string, word string, sim double").filter("sim > 0")
+    # distances are slow and pairs are small: they are dealt to all tasks, whatever was merged before
+    return pairs.repartition(tasks, "token", "word").mapInArrow(_compare, "token string, word string, sim double").filter("sim > 0")
 
 
 def _explode_values(batches):

@@ -6,7 +6,8 @@ occurrence is located. The phrases searched are all runs of k words of the test
 positions are merged into the spans to remove.
 
 Words that occur in no test item cannot be in a match; they only separate, and runs between them that are
-shorter than k words are left out of the index.
+shorter than k words are left out of the index. This makes the index small but ties it to the items: it serves one
+pass of them and is not kept. The whole text is read; nothing that could match is left out.
 """
 
 from __future__ import annotations
@@ -25,8 +26,10 @@ from .words import WORD, visible
 SHARD_WORDS = 400_000
 #: Every so many positions of the text have their suffix position kept.
 SAMPLE = 16
-#: Bytes of test items that are searched in one pass (they are broadcast); more are searched in several.
-ITEM_BYTES = 16 << 20
+#: Bytes of test items that are searched in one pass; more are searched in several. A word takes at least two bytes, so a
+#: pass has at most half as many phrases, each k + 2 numbers of 4 bytes where it is held: 126 MB for phrases of one-letter
+#: words, about 40 MB for texts of natural language, on the driver and in each worker alike.
+ITEM_BYTES = 4 << 20
 
 
 def suffix_array(seq: np.ndarray) -> np.ndarray:
@@ -104,7 +107,7 @@ class FMIndex:
         low, high = np.zeros(len(phrases), np.int64), np.full(len(phrases), self.n, np.int64)
         live = np.arange(len(phrases))
         for k in range(phrases.shape[1] - 1, -1, -1):
-            c = phrases[live, k]
+            c = phrases[live, k].astype(np.int64)
             base = self.first[c]
             low[live], high[live] = base + self.wavelet.rank(c, low[live]), base + self.wavelet.rank(c, high[live])
             live = live[low[live] < high[live]]
@@ -128,23 +131,35 @@ class FMIndex:
 
 
 class Phrases:
-    """All runs of k words of a set of items."""
+    """All runs of k words of a set of items, each once, with the items that hold it: arrays only, beside the words' numbers."""
 
     def __init__(self, items: list[tuple[int, str]], k: int):
         self.k = k
         self.number: dict[str, int] = {}
-        rows: dict[tuple[int, ...], set[int]] = {}
+        runs, owners, names = [np.zeros((0, k), np.int32)], [np.zeros(0, np.int32)], []
         for item, text in items:
             ws = WORD.findall(visible(text).casefold())
             if len(ws) < k:
                 continue
-            codes = [self.number.setdefault(w, len(self.number) + 2) for w in ws]  # 1 separates
-            for i in range(len(codes) - k + 1):
-                rows.setdefault(tuple(codes[i : i + k]), set()).add(item)
-        self.rows = np.array(list(rows), np.int64).reshape(-1, k)
-        self.items = [sorted(x) for x in rows.values()]
+            codes = np.array([self.number.setdefault(w, len(self.number) + 2) for w in ws], np.int32)  # 1 separates
+            runs.append(np.lib.stride_tricks.sliding_window_view(codes, k))
+            owners.append(np.full(len(ws) - k + 1, len(names), np.int32))
+            names.append(item)
+        every, owner = np.concatenate(runs), np.concatenate(owners)
+        keys = np.ascontiguousarray(every).view(np.dtype((np.void, 4 * k))).reshape(-1)
+        _, first, which = np.unique(keys, return_index=True, return_inverse=True)
+        #: The phrases, a row each.
+        self.rows = every[first]
+        # the items of phrase p stand in names[held[starts[p]:starts[p + 1]]]
+        pairs = np.unique(which.astype(np.int64) * max(1, len(names)) + owner)
+        self.held = (pairs % max(1, len(names))).astype(np.int32)
+        self.starts = np.searchsorted(pairs, np.arange(len(first) + 1, dtype=np.int64) * max(1, len(names)))
+        self.names = np.array(names, np.int64)
         self.size = len(self.number) + 2
 
+    def items(self, phrase: int) -> list[int]:
+        return self.names[self.held[self.starts[phrase] : self.starts[phrase + 1]]].tolist()
+
 
 def _pieces(text: str, phrases: Phrases) -> Iterator[tuple[int, np.ndarray]]:
     """(word position, numbers) of each run of known words that is long enough; long ones in overlapping parts."""
@@ -181,7 +196,7 @@ def spans(docs: list[tuple[int, list[tuple[int, np.ndarray]]]], phrases: Phrases
     found: dict[tuple[int, int], list[int]] = {}
     for p, w, pos in zip(piece.tolist(), which.tolist(), where.tolist(), strict=True):
         doc, begin = owners[p]
-        for item in phrases.items[w]:
+        for item in phrases.items(w):
             found.setdefault((doc, item), []).append(begin + pos - starts[p])
     for (doc, item), positions in found.items():
         a = b = -1

@@ -38,6 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.components import components
 from ..session import materialise, small_join, spread
 from .words import Hasher, mix, plain, runs, words
 
@@ -364,14 +365,12 @@ def _emit(k: int, counts, classes: int, threshold: float, bands: list[Scheme], e
 
 
 def pack(tokens: np.ndarray) -> bytes:
-    """The first 40 bits of each sorted token; two different tokens of a pair agree in them once in 10^7 pairs."""
-    return tokens.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+    """Sorted tokens, whole: 64 bits each."""
+    return tokens.astype("<u8").tobytes()
 
 
 def unpack(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 5, 8), np.uint8)
-    out[:, :5] = np.frombuffer(data, np.uint8).reshape(-1, 5)
-    return out.view(">u8").reshape(-1).astype(np.uint64)
+    return np.frombuffer(data, "<u8")
 
 
 def _pack_sets(k: int):
@@ -390,7 +389,7 @@ def _verify(threshold: float):
         for batch in batches:
             a, b = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             shared = np.array([np.intersect1d(unpack(x), unpack(y), assume_unique=True).size for x, y in zip(a, b, strict=True)], np.int64)
-            both = np.array([(len(x) + len(y)) // 5 for x, y in zip(a, b, strict=True)], np.int64) - shared
+            both = np.array([(len(x) + len(y)) // 8 for x, y in zip(a, b, strict=True)], np.int64) - shared
             ok = pa.array(shared >= threshold * both - 1e-9)
             out = [batch.column(0), batch.column(1), pa.array(shared / np.maximum(1, both), pa.float64())]
             yield pa.RecordBatch.from_arrays(out, names=["a", "b", "similarity"]).filter(ok)
@@ -433,32 +432,6 @@ class NearDuplicates:
         return out.select("id", F.when(empty, F.col("id")).otherwise(F.col("class_id")).alias("class_id"), F.when(empty, F.col("id")).otherwise(F.col("group_id")).alias("group_id"), F.when(empty, F.lit(0).cast("long")).otherwise(F.col("links")).alias("links"))
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(id, component) of each id in links (a, b): the smallest id that it is connected to.
-
-    Alternates large-star and small-star steps on the edges (Kiveris et al. 2014), O(log^2) rounds; each round is a
-    table in the shared folder. No vertex's neighbours are ever gathered: the minimum is an aggregate.
-    """
-    edges = materialise(links.select(F.col("a").alias("u"), F.col("b").alias("v")).filter("u <> v").distinct())
-
-    def star(e: DataFrame, large: bool) -> DataFrame:
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        near = both if large else both.filter("v < u")
-        low = near.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        moved = near.filter("v > u" if large else "true").join(low, "u").select(F.col("v").alias("x"), F.col("m").alias("y"))
-        if not large:
-            moved = moved.unionByName(low.select(F.col("u").alias("x"), F.col("m").alias("y")))
-        return moved.filter("x <> y").select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct()
-
-    mark = lambda e: tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-    last = None
-    while (now := mark(edges)) != last:
-        last = now
-        edges = materialise(star(materialise(star(edges, True)), False))
-    roots = edges.select(F.col("v").alias("id")).distinct().withColumn("component", F.col("id"))
-    return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots)
-
-
 def near_duplicates(df: DataFrame, id_col: str, text: Column, k: int = 5, threshold: float = 0.8, exact: bool = False) -> NearDuplicates:
     """Records of df whose sets of runs of k words have a Jaccard similarity of at least the threshold.
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import materialise, small_join, table
-from . import canonical, leakage, neardup, packing, residue
+from . import canonical, leakage, neardup, packing, residue, sql
 
 
 def _postings(spark: SparkSession, d: str) -> neardup.NearDuplicates:
@@ -115,4 +115,4 @@ QUERIES = {
 ORACLE = {
     "p7_found": f"SELECT doc_id FROM documents WHERE strlen(text) + 1 > {CAPACITY}",
     "p7_invariants": f"SELECT doc_id, CAST(ceil((coalesce(strlen(text), 0) + 1) / {CAPACITY}.0) AS BIGINT) AS n_pieces, coalesce(strlen(text), 0) + 1 AS n_tokens, 0::BIGINT AS n_overlapping, 0::BIGINT AS n_outside FROM documents",
-}
+} | sql.ORACLE

@@ -29,7 +29,7 @@ COVERAGE = 0.8
 SCRIPT_PHRASES = """
 enable javascript|javascript must be|needs javascript|requires javascript|turn on javascript|switch on javascript|activate javascript|allow javascript|javascript is disabled
 javascript is turned off|javascript is switched off|javascript is not enabled|javascript is off|javascript disabled|without javascript|javascript to|scripting is disabled|scripts are disabled
-scripts are blocked|scripts are required|scripts are needed|activate scripts|allow scripts|enable scripts|turn on scripts|blocks scripts|support the scripts|support javascript|needs scripts
+does not run client side code|client side code|scripts are blocked|scripts are required|scripts are needed|activate scripts|allow scripts|enable scripts|turn on scripts|blocks scripts|support the scripts|support javascript|needs scripts
 checking your browser|verify that you are human|verify you are human|are you a robot|not a robot|enable cookies|cookies are disabled
 aktivieren sie javascript|javascript aktivieren|javascript ist ausgeschaltet|javascript ist deaktiviert|javascript muss|ohne javascript|skripte benötigt|skripte werden|skripte sind|skripte blockiert
 blockiert skripte|benötigt javascript|javascript einschalten|schalten sie javascript|skripte aktivieren|führt sie nicht aus|javascript wird benötigt|javascript erforderlich
@@ -37,7 +37,7 @@ activer javascript|activez javascript|javascript est désactivé|javascript doit
 activa javascript|activar javascript|active javascript|javascript está desactivado|javascript debe|sin javascript|bloquea los scripts|necesita javascript|requiere javascript|habilite javascript|habilita javascript|permite los scripts|activa los scripts|javascript para ver
 """.strip()
 ERROR_PHRASES = """
-access denied|permission to view|not found|page not found|cannot be displayed|could not be displayed|cannot be shown|could not be shown|could not be found|could not be taken|could not be removed|has moved or was|was taken away|no longer available|page has moved|page was removed
+access denied|not currently accessible|unexpected condition|unexpected error|domain has been parked|domain is parked|domain is for sale|permission to view|not found|page not found|cannot be displayed|could not be displayed|cannot be shown|could not be shown|could not be found|could not be taken|could not be removed|has moved or was|was taken away|no longer available|page has moved|page was removed
 internal server error|server error|service unavailable|temporarily unavailable|gateway timeout|bad gateway|bad request|forbidden|unauthorized|too many requests|unhandled exception|did not answer within|down for maintenance|under maintenance|session has expired|session expired
 something went wrong|an error occurred|an error has occurred|could not render|could not finish|could not complete|could not load|failed to load|try again later|try again in|request blocked|connection refused|connection timed out|connection failed|stack trace|null reference|nullreference|error 0|oops
 could not connect|cannot connect|unable to connect|connect to database|database error|query failed|fatal error|syntax error|out of memory|segmentation fault|no such file|timed out|deadline exceeded|host unreachable|errno 0|uncaught exception|access to this page|has been blocked|too busy|overloaded|rate limit exceeded|we ll be back|be right back
@@ -85,15 +85,15 @@ _HTML_NAMES = (
     "a abbr address article aside b blockquote body br button caption center cite code col colgroup dd del details dfn div dl dt em figcaption figure font footer form h1 h2 h3 h4 h5 h6 head header hr html i iframe img input ins kbd label legend li link main mark meta nav noscript ol option p pre q s samp script section select small span strike strong style sub summary sup svg table tbody td textarea tfoot th thead time title tr tt u ul var video"
 ).split()
 _HTML = re.compile(r"</?(?:" + "|".join(_HTML_NAMES) + r")(?:\s+[^<>]*=[^<>]*|\s*/?)>|<!--.*?-->|<!doctype[^>]*>", re.I | re.S)
-_NAME = r"[^\W\d_][\w .\-’']{0,40}"
+_NAME = r"[^\W\d_][\w .\-’']*+"
 #: Delimiters of template marks. strong: hardly anything else; weak: brackets that people also use.
-#: What stands in a strong mark may be of any length: no class holds its own delimiter, so the possessive runs end there.
+#: What stands in a mark may be of any length: no class holds its own delimiter, so the possessive runs end there.
 _STRONG = re.compile(
     r"\{\{\{?\s*+(?P<s1>[^{}]*+)\}?\}\}|\$\{\s*+(?P<s2>[^{}]++)\}|<%[=\-]?\s*+(?P<s3>[^%<>]++)%>|\{%\s*+(?P<s4>[^%{}]++)%\}|\[\[\s*+(?P<s5>[^\[\]]++)\]\]"
     r"|<<\s*+(?P<s6>[^<>]++)>>|«\s*+(?P<s7>\w{2,}+)\s*+»|%\(\s*+(?P<s8>\w++)\s*+\)[sdif]|\*\|\s*+(?P<s9>[\w:]++)\s*+\|\*|@@\s*+(?P<s10>\w++)\s*+@@|@Model\.(?P<s11>\w++)"
     r"|(?<![\w%])%(?P<s12>[A-Z][A-Z0-9_]++)%|(?<!\w)__(?P<s13>[A-Z][A-Z0-9_]+?)__(?!\w)|(?<![\w$])\$(?P<s14>[A-Z][A-Z0-9_]++)\$|(?<![\w#])\#(?P<s15>[A-Z][A-Z0-9_]++)\#|(?<![\w:]):(?P<s16>[A-Z][A-Z0-9_]++):"
 )
-_WEAK = re.compile(rf"\[\s*(?P<w1>{_NAME}(?::[^\[\]]{{0,40}})?)\s*\]|\(\s*(?P<w2>{_NAME}(?::[^()]{{0,40}})?)\s*\)|(?<![{{$])\{{\s*(?P<w3>{_NAME}|\d)\s*\}}|<\s*(?P<w4>{_NAME}(?::[^<>]{{0,40}})?)\s*>|_{{4,}}")
+_WEAK = re.compile(rf"\[\s*(?P<w1>{_NAME}(?::[^\[\]]*+)?)\s*\]|\(\s*(?P<w2>{_NAME}(?::[^()]*+)?)\s*\)|(?<![{{$])\{{\s*(?P<w3>{_NAME}|\d)\s*\}}|<\s*(?P<w4>{_NAME}(?::[^<>]*+)?)\s*>|_{{4,}}")
 _BARE = re.compile(r"\[object Object\]|(?<!['\"‘“\w])undefined(?!['\"’”\w])(?! is not a\b)|\bXXXX+\b|(?<!\w)NaN(?!\w)")
 _SPLIT = re.compile(r"(?<=[.!?…])[\"'”»)]*\s+|\n+|\s[|·•]\s|\t+")
 _KEEP = re.compile(r"[^\W_]+")
