@@ -16,7 +16,7 @@ from ..operators.stats import megabytes
 from ..operators.upsert import last_wins, upsert
 from ..schema import JOBS, KEY
 from ..session import cancellable, materialise
-from ..sources.files import changed, list_inputs, parse_paths
+from ..sources.files import compared, list_inputs, parse_paths
 from ..sources.snapshot import BUCKET, Snapshots, bucket
 
 _MANIFEST = "root_dir string, file_name string, mtime_us bigint, size_bytes bigint, requisition_id string"
@@ -87,23 +87,25 @@ def _run(spark: SparkSession, json_dir: str, out_dir: str, limit: int | None, fu
         manifest = spark.createDataFrame([], _MANIFEST)
     root = json_dir.rstrip("/")
     try:
-        files = materialise(list_inputs(spark, json_dir, limit).withColumn("root_dir", F.lit(root)))
+        state = materialise(compared(list_inputs(spark, json_dir, limit).withColumn("root_dir", F.lit(root)), manifest, time="mtime_us"))
     except ValueError:
         raise
     except Exception as e:  # noqa: BLE001
         raise IngestError(f"{json_dir} cannot be listed: {e}") from e
-    todo = materialise(changed(files, manifest, time="mtime_us"))
-    n_files, n_todo = files.count(), todo.count()
+    todo = state.filter("not same").drop("same")
+    n_files, n_todo = state.agg(F.count(F.lit(1)), F.count_if(~F.col("same"))).first()
     say(f"{n_files} files, {n_todo} to parse")
     if not n_todo and not whole:
         return IngestResult(n_files, n_files, 0, 0, 0, False, store.rows("jobs"), 0.0, time.monotonic() - began, (), now["version"], 0.0, 0)
     started = time.monotonic()
     parsed = materialise(parse_paths(todo, n_todo, _FILE))
     counts = parsed.agg(F.count_if(F.col("error").isNull()).alias("ok"), F.count_if(F.col("error").isNotNull()).alias("bad")).first()
-    samples = tuple(r[0] for r in parsed.filter("error is not null").orderBy("file_name").limit(SAMPLES).select("error").collect())
+    samples = tuple(r[0] for r in parsed.filter("error is not null").orderBy("file_name").limit(SAMPLES).select("error").collect()) if counts["bad"] else ()
     if counts["ok"] + counts["bad"] != n_todo:
         raise IngestError(f"{n_todo} files were selected, {counts['ok'] + counts['bad']} came back")
     parse_sec, started = time.monotonic() - started, time.monotonic()
+    if not counts["ok"] and not whole:  # only files that failed before were tried again, in vain
+        return IngestResult(n_files, n_files - n_todo, n_todo, 0, counts["bad"], False, store.rows("jobs"), parse_sec, time.monotonic() - began, samples, now["version"])
     if whole:
         buckets = max(1, -(-counts["ok"] // BUCKET_ROWS))
     good = parsed.filter("error is null").select(*_FILE, "row.*")

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..errors import Cancelled
 from ..functions.text import job_summary
-from ..operators import stats
+from ..operators import compaction, stats
 from ..operators.upsert import last_wins
 from ..schema import ENRICHED, JOB_INFORMATION, JOBS, PROCESSED, fields
 from ..session import materialise, shared_folder, spread, table
@@ -27,7 +27,7 @@ from ..sources.snapshot import Snapshots
 from ..streaming.incremental import ingest_stream
 from . import corpus
 from .ingest import run_ingest
-from .pages import pages
+from .pages import COLUMNS, pages
 from .problems import _GOOD_PLACES
 
 _jobs = lambda s, d: table(s, d, "jobs")
@@ -183,6 +183,14 @@ def exports(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{at}/p").join(lines, "row_id")
 
 
+def compact_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Every page, some of them damaged, compacted into few files: the ids that stand in the committed version."""
+    out = shared_folder(spark, "pages")
+    files = _damaged(_jobs(spark, d)).select(F.col("row_id").alias("file_id"), F.concat(F.lit("page-"), "row_id").alias("file_name"), F.octet_length("content").cast("long").alias("size_bytes"), "content")
+    record = compaction.compact(files, out, 1 << 20)
+    return spark.read.parquet(f"{out}/{record['version']}").select("file_id", "file_name")
+
+
 # --- acquisition -------------------------------------------------------------------------------------
 
 
@@ -309,7 +317,7 @@ def summary(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "page_errors": page_errors, "flatten_pages": flatten_pages, "ingest_runs_counted": ingest_runs_counted, "ingest_table": ingest_table, "ingest_manifest": ingest_manifest,
     "ingest_streamed": ingest_streamed, "ingest_full": ingest_full, "ingest_cancelled": ingest_cancelled, "listed_files": listed_files, "first_files": first_files,
-    "sqlite_upsert": sqlite_upsert, "ipc_hand_off": ipc_hand_off, "exports": exports,
+    "sqlite_upsert": sqlite_upsert, "ipc_hand_off": ipc_hand_off, "exports": exports, "compact_pages": compact_pages,
     "wanted_hits": wanted_hits, "identity_backfill": identity_backfill, "job_summaries": job_summaries, "scrape_events": scrape_events, "search_states": search_states,
     "page_states": page_states, "breakdown_bars": breakdown_bars, "summary": summary,
 }
@@ -348,6 +356,10 @@ _SHOWN |= {
     "enriched_company_data_json": _sql_blob(ENRICHED, {"status": "enriched_status", "nb_employees": "nb_employees", "year_founded": "year_founded"}),
 }
 _COLUMNS = ", ".join(f"{e} AS {c}" for c, e in _SHOWN.items())
+#: What pages are made of: two rows that agree in all of it have pages of one JSON value. A page with NaN is no JSON.
+_VALUE = [c for c in COLUMNS if c not in (*_LISTED, "latitude", "longitude")]
+_VALUE += [f"CASE WHEN {_GOOD_PLACES.replace('workplace_countries', c)} THEN json_normalize({c})::VARCHAR ELSE {c} END" for c in _LISTED] + [_PLACED(c) for c in ("latitude", "longitude")]
+_WRITABLE = " AND ".join([f"({c} IS NULL OR isfinite({c}))" for c in _FINITE] + ["(latitude IS NULL OR longitude IS NULL OR (isfinite(latitude) AND isfinite(longitude)))"])
 _LAST = lambda half: f"(SELECT *, ({_VALID}) AS valid FROM jobs WHERE load_id % 2 = {half} QUALIFY row_number() OVER (PARTITION BY requisition_id ORDER BY row_id DESC) = 1)"
 #: What stands under a key after both deliveries: the second file's row if it is valid, or else the first one's.
 _BOTH = f"WITH a AS {_LAST(1)}, b AS {_LAST(0)}, t AS (SELECT * FROM b WHERE valid UNION ALL SELECT * FROM a WHERE valid AND requisition_id NOT IN (SELECT requisition_id FROM b WHERE valid))"
@@ -398,6 +410,7 @@ ORACLE = {
         SELECT requisition_id, row_id, title, CASE WHEN NOT isnan(yearly_min_compensation) THEN yearly_min_compensation END AS yearly_min_compensation FROM (SELECT * FROM b UNION ALL SELECT * FROM a WHERE is_expired IS NOT TRUE AND requisition_id NOT IN (SELECT requisition_id FROM b))""",
     "ipc_hand_off": "SELECT row_id, title, is_expired, nb_employees, latitude FROM jobs",
     "exports": "SELECT row_id, title, company_name, yearly_max_compensation FROM jobs",
+    "compact_pages": f"SELECT min(row_id) AS file_id, 'page-' || min(row_id) AS file_name FROM jobs WHERE row_id % 13 NOT IN (0, 1, 3) AND {_WRITABLE} GROUP BY {', '.join(_VALUE)}",
     "wanted_hits": f"SELECT hit_id, id, requisition_id, page_no FROM search_hits h WHERE {_NOT_SEEN}",
     "identity_backfill": f"""SELECT h.hit_id, coalesce(h.id, o.id) AS id, coalesce(h.requisition_id, o.requisition_id) AS requisition_id, coalesce(h.source, o.source) AS source, coalesce(h.board_token, o.board_token) AS board_token,
         o.apply_url, o.collapse_key, concat_ws(',', {_LACKS}) AS missing FROM search_hits h LEFT JOIN {_OTHER} o ON o.id = h.id""",

@@ -44,11 +44,16 @@ def list_inputs(spark: SparkSession, json_dir: str | list[str], limit: int | Non
     return out.orderBy("file_name", "path").limit(limit) if limit else out
 
 
+def compared(files: DataFrame, manifest: DataFrame, on: tuple[str, ...] = ("root_dir", "file_name"), time: str = "mtime_ns") -> DataFrame:
+    """files with the column same: whether the manifest knows the file with that time and size."""
+    known = manifest.select(*on, F.col(time).alias("_time"), F.col("size_bytes").alias("_size"))
+    same = F.coalesce((F.col("_time") == F.col(time)) & (F.col("_size") == F.col("size_bytes")), F.lit(False))
+    return files.join(known, list(on), "left").select(*files.columns, same.alias("same"))
+
+
 def changed(files: DataFrame, manifest: DataFrame, on: tuple[str, ...] = ("root_dir", "file_name"), time: str = "mtime_ns") -> DataFrame:
     """The files that are new, or whose time or size differs from the manifest's, or is unknown."""
-    known = manifest.select(*on, F.col(time).alias("_time"), F.col("size_bytes").alias("_size"), F.lit(True).alias("_known"))
-    same = F.coalesce(F.col("_known") & (F.col("_time") == F.col(time)) & (F.col("_size") == F.col("size_bytes")), F.lit(False))
-    return files.join(known, list(on), "left").filter(~same).select(*files.columns)
+    return compared(files, manifest, on, time).filter("not same").drop("same")
 
 
 _ROW = to_arrow_type(JOBS)
