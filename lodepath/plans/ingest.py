@@ -13,9 +13,8 @@ from pyspark.sql import functions as F
 
 from ..errors import IngestError
 from ..operators.stats import megabytes
-from ..operators.upsert import last_wins, upsert
 from ..schema import JOBS, KEY
-from ..session import cancellable, materialise
+from ..session import cancellable, materialise, small_join
 from ..sources.files import compared, list_inputs, parse_paths
 from ..sources.snapshot import BUCKET, Snapshots, bucket
 
@@ -107,22 +106,25 @@ def _run(spark: SparkSession, json_dir: str, out_dir: str, limit: int | None, fu
     if not counts["ok"] and not whole:  # only files that failed before were tried again, in vain
         return IngestResult(n_files, n_files - n_todo, n_todo, 0, counts["bad"], False, store.rows("jobs"), parse_sec, time.monotonic() - began, samples, now["version"])
     if whole:
-        buckets = max(1, -(-counts["ok"] // BUCKET_ROWS))
+        buckets = max(spark.sparkContext.defaultParallelism, -(-counts["ok"] // BUCKET_ROWS))
     good = parsed.filter("error is null").select(*_FILE, "row.*")
     entries = materialise(good.select(*_FILE, KEY).join(todo.select(*_FILE, "mtime_us", "size_bytes"), _FILE).withColumn(BUCKET, bucket(_FILE, buckets)))
-    own = entries.select(*_FILE)
-    # keys that a re-read file no longer has and no other file holds
-    old = manifest.join(entries.select(*_FILE, F.col(KEY).alias("_new")), _FILE).filter(F.col(KEY) != F.col("_new")).select(KEY).distinct()
-    left = manifest.join(own, _FILE, "left_anti").select(KEY).unionByName(entries.select(KEY))
-    stale = materialise(old.join(left, KEY, "left_anti"))
-    rows = materialise(last_wins(good.drop("root_dir"), [KEY], ["file_name"]).drop("file_name").select(*JOBS.names, bucket([KEY], buckets)))
+    # the last file of a key wins: found on names and keys, so that wide rows move once, to their bucket
+    last = entries.groupBy(KEY).agg(F.max("file_name").alias("_last"))
+    beaten = entries.join(last, KEY).filter(F.col("file_name") < F.col("_last")).select("file_name")
+    rows = small_join(good, beaten, ["file_name"], "left_anti").select(*JOBS.names, bucket([KEY], buckets))
     if whole:
         tables = {"jobs": (rows.repartition(buckets, BUCKET), None), "manifest": (entries.repartition(buckets, BUCKET), None)}
     else:
-        of_files, of_keys = _touched(entries), _touched(rows.select(BUCKET).unionByName(stale.select(bucket([KEY], buckets))))
+        own = entries.select(*_FILE)
+        # keys that a re-read file no longer has and no other file holds
+        old = manifest.join(entries.select(*_FILE, F.col(KEY).alias("_new")), _FILE).filter(F.col(KEY) != F.col("_new")).select(KEY).distinct()
+        left = manifest.join(own, _FILE, "left_anti").select(KEY).unionByName(entries.select(KEY))
+        replaced = materialise(old.join(left, KEY, "left_anti").unionByName(entries.select(KEY)).distinct().withColumn(BUCKET, bucket([KEY], buckets)))
+        of_files, of_keys = _touched(entries), _touched(replaced)
         kept = store.read("manifest", of_files).join(own, _FILE, "left_anti").withColumn(BUCKET, bucket(_FILE, buckets))
-        base = store.read("jobs", of_keys).withColumn(BUCKET, bucket([KEY], buckets))
-        merged = upsert(base, rows.withColumn("_n", F.lit(0)), [KEY], ["_n"], stale)
+        base = small_join(store.read("jobs", of_keys), replaced.select(KEY), [KEY], "left_anti")
+        merged = base.select(*JOBS.names, bucket([KEY], buckets)).unionByName(rows)
         tables = {"jobs": (merged.repartition(max(1, len(of_keys)), BUCKET), of_keys), "manifest": (kept.unionByName(entries.select(*kept.columns)).repartition(max(1, len(of_files)), BUCKET), of_files)}
     record = store.commit(tables, {"full": whole, "n_buckets": buckets})
     say(f"committed {record['version']}")
