@@ -20,22 +20,26 @@ def _unwrapped(j: str) -> str:
 _NODES = f"""
 WITH RECURSIVE b AS ({' UNION ALL '.join(f"SELECT row_id, '{c}' AS blob, {c} AS t FROM jobs" for c in BLOBS)}),
 n AS (
-    SELECT row_id, blob, '' AS path, '' AS chain, []::VARCHAR[] AS marks, {_unwrapped('CAST(t AS JSON)')} AS j, false AS element FROM (SELECT * FROM b WHERE t IS NOT NULL AND {_STRICT.format(t='t')})
+    SELECT row_id, blob, '' AS path, '' AS chain, []::VARCHAR[] AS marks, '' AS row_path, [NULL]::VARCHAR[] AS up, {_unwrapped('CAST(t AS JSON)')} AS j, false AS element, true AS is_row FROM (SELECT * FROM b WHERE t IS NOT NULL AND {_STRICT.format(t='t')})
     UNION ALL
-    SELECT row_id, blob, path || CASE WHEN lone THEN {_MARK} ELSE '' END, chain, CASE WHEN lone THEN list_append(marks, chain) ELSE marks END, j, element FROM (
+    SELECT row_id, blob, path || CASE WHEN lone THEN {_MARK} ELSE '' END, chain, CASE WHEN lone THEN list_append(marks, chain) ELSE marks END, CASE WHEN element OR lone THEN path || CASE WHEN lone THEN {_MARK} ELSE '' END ELSE row_path END, [row_path], j, element, element OR lone FROM (
         SELECT n.row_id, n.blob, json_type(n.j) = 'ARRAY' AS element,
             CASE WHEN json_type(n.j) = 'ARRAY' THEN n.path || '[' || e.key || ']' WHEN n.path = '' THEN e.key ELSE n.path || '.' || e.key END AS path,
             CASE WHEN json_type(n.j) = 'ARRAY' THEN n.chain ELSE n.chain || chr(31) || e.key END AS chain,
-            n.marks, {_unwrapped('e.value')} AS j, json_type(n.j) = 'OBJECT' AND json_type({_unwrapped('e.value')}) = 'OBJECT' AS lone
+            n.marks, n.row_path, {_unwrapped('e.value')} AS j, json_type(n.j) = 'OBJECT' AND json_type({_unwrapped('e.value')}) = 'OBJECT' AS lone
         FROM n, json_each(n.j) e WHERE json_type(n.j) IN ('ARRAY', 'OBJECT')
     )
 ),
 r AS (SELECT blob, list(DISTINCT chain) AS repeated FROM n WHERE element AND json_type(j) = 'OBJECT' GROUP BY blob)
 """
+_SETTLED = lambda bits: f"array_to_string(list_transform(range(1, len({bits}) + 1), lambda i: {bits}[i] || CASE WHEN i <= len(marks) AND i < len({bits}) AND list_contains(repeated, marks[i]) THEN '[0]' ELSE '' END), '')"
 P1_FOUND = f"""{_NODES}
-SELECT row_id, blob, array_to_string(list_transform(range(1, len(bits) + 1), lambda i: bits[i] || CASE WHEN i <= len(marks) AND list_contains(repeated, marks[i]) THEN '[0]' ELSE '' END), '') AS path
+SELECT row_id, blob, {_SETTLED('bits')} AS path
 FROM (SELECT n.row_id, n.blob, string_split(path, {_MARK}) AS bits, marks, element, coalesce(repeated, []) AS repeated, chain FROM n LEFT JOIN r USING (blob) WHERE json_type(j) = 'OBJECT')
 WHERE element OR (len(marks) > 0 AND marks[-1] = chain AND list_contains(repeated, chain))"""
+P1_LINKS = f"""{_NODES}
+SELECT row_id, blob, regexp_replace({_SETTLED('bits')}, '\\[\\d+\\]', '[]', 'g') AS level, {_SETTLED('bits')} AS path, CASE WHEN ups IS NOT NULL THEN {_SETTLED('ups')} END AS parent_path
+FROM (SELECT n.row_id, n.blob, string_split(path, {_MARK}) AS bits, string_split(up[1], {_MARK}) AS ups, marks, coalesce(repeated, []) AS repeated FROM n LEFT JOIN r USING (blob) WHERE is_row)"""
 
 # --- problem 4 ---
 
@@ -112,4 +116,4 @@ SELECT load_id, previous, column_name, round(sum(abs(n1 / a1 - n0 / a0)) / 2, 6)
     round(sum((greatest(n1 / a1, 1e-6) - greatest(n0 / a0, 1e-6)) * ln(greatest(n1 / a1, 1e-6) / greatest(n0 / a0, 1e-6))), 6) AS psi
 FROM w WHERE a1 > 0 AND a0 > 0 GROUP BY ALL"""
 
-ORACLE = {"p1_found": P1_FOUND, "p4_found": P4_FOUND, "p6_profile": P6_PROFILE, "p6_shifts": P6_SHIFTS}
+ORACLE = {"p1_found": P1_FOUND, "p1_links": P1_LINKS, "p4_found": P4_FOUND, "p6_profile": P6_PROFILE, "p6_shifts": P6_SHIFTS}

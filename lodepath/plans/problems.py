@@ -23,6 +23,12 @@ def p1_tables(spark: SparkSession, d: str) -> DataFrame:
     return tables.select(F.col("id").alias("row_id"), "blob", "level", "path", "parent_path", F.to_json("fields").alias("fields"))
 
 
+def p1_links(spark: SparkSession, d: str) -> DataFrame:
+    """The rows of all levels and their parents, without their fields."""
+    tables = shredding.flat_tables(table(spark, d, "jobs"), "row_id", BLOBS)
+    return tables.select(F.col("id").alias("row_id"), "blob", "level", "path", "parent_path")
+
+
 FIELD_PARENTS = ["job_information", "v5_processed_job_data"]
 FIELD_TYPES = {
     "id": "string", "source": "string", "requisition_id": "string", "is_expired": "boolean", "board_token": "string",
@@ -92,7 +98,7 @@ def p6_shifts(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "p1_found": p1_found, "p1_tables": p1_tables,
+    "p1_found": p1_found, "p1_tables": p1_tables, "p1_links": p1_links,
     "p4_found": p4_found, "p4_table": p4_table,
     "p5_found": p5_found, "p5_bins": p5_bins, "p5_compact": p5_compact,
     "p6_found": p6_found, "p6_profile": p6_profile, "p6_shifts": p6_shifts,

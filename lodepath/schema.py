@@ -40,14 +40,14 @@ min_industry_and_role_yoe double, yearly_min_compensation double, yearly_max_com
 company_name string, company_website string, enriched_status string, nb_employees bigint, year_founded bigint, latitude double, longitude double,
 job_information_json string!, v5_processed_job_data_json string!, enriched_company_data_json string
 """
-#: Columns whose fill rates are worth showing: neither the description nor the blobs, which are never null and hold nearly all bytes.
+# --- fixed values: columns that results show, in their order ---
 FILL_COLUMNS = (
     "core_job_title job_category seniority_level role_type workplace_type formatted_workplace_location workplace_countries min_industry_and_role_yoe yearly_min_compensation "
     "yearly_max_compensation listed_compensation_currency technical_tools estimated_publish_date company_name company_website enriched_status nb_employees year_founded latitude longitude"
 ).split()
-#: What a page of search results shows.
 PAGE_COLUMNS = "requisition_id title company_name formatted_workplace_location workplace_type yearly_min_compensation yearly_max_compensation listed_compensation_currency estimated_publish_date".split()
 SEARCH_COLUMNS = ["title", "company_name", "formatted_workplace_location"]
+# --- end of fixed values ---
 KEY = "requisition_id"
 
 

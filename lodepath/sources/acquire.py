@@ -24,6 +24,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from ..errors import ScrapeCancelled, ScrapeError
 from ..functions.text import job_summary
 from .sinks import write_raw_page
+from .storage import read_bytes
 
 TRIES, FIRST_WAIT = 3, 5.0
 #: A description counts as there from so many characters.
@@ -89,6 +90,14 @@ def parse_search_state(text: str) -> dict:
     return state
 
 
+def load_presets(path: str) -> dict[str, dict]:
+    """Saved searches by name: a JSON object whose members are search states; ValueError for anything else."""
+    found = json.loads(read_bytes(path))
+    if not isinstance(found, dict) or not all(isinstance(v, dict) for v in found.values()):
+        raise ValueError(f"{path} is not an object of search states")
+    return found
+
+
 def resolve_search_state(query: str | None = None, url: str | None = None, preset: str | None = None, presets: dict[str, dict] | None = None) -> dict:
     """The state of one of: a free query, a URL, a saved search by name. At most one may be given."""
     if sum(x is not None for x in (query, url, preset)) > 1:

@@ -101,3 +101,11 @@ def test_data_source(spark, monkeypatch):
     rows = list(reader.read(reader.partitions()[0]))
     assert len(rows) == 2 and len(rows[0]) == 9
     spark.dataSource.register(acquire.PageSource)
+
+
+def test_presets_from_a_file(tmp_path):
+    (tmp_path / "p.json").write_text('{"remote": {"searchQuery": "x"}}')
+    assert acquire.resolve_search_state(preset="remote", presets=acquire.load_presets(str(tmp_path / "p.json"))) == {"searchQuery": "x"}
+    (tmp_path / "p.json").write_text("[1]")
+    with pytest.raises(ValueError):
+        acquire.load_presets(str(tmp_path / "p.json"))
