@@ -30,16 +30,29 @@ SHORT_FORMS = {
     "inv": "inventory", "whse": "warehouse", "wh": "warehouse", "sec": "security", "sys": "systems", "adj": "adjuster", "couns": "counsel counselor", "tchr": "teacher", "elem": "elementary",
     "math": "mathematics", "maths": "mathematics", "recep": "receptionist", "soc": "social", "db": "database", "dba": "dba", "pm": "pm", "op": "operator operations", "opr": "operator", "mtce": "maintenance", "mfg": "manufacturing", "splst": "specialist", "qual": "quality", "accts": "accounts", "oper": "operator",
 }
-#: The short forms of each word.
-FORMS_OF: dict[str, list[str]] = {}
-for _short, _long in SHORT_FORMS.items():
-    for _w in _long.split():
-        FORMS_OF.setdefault(_w, []).append(_short)
 #: Words that begin what is no longer the occupation: the place or the employer.
 TAIL = re.compile(r"\s+(?:at|in|@|near|for|with|bei|chez|en|à)\s+.*$|\s+[-–—|/]\s+.*$|\s*[#*].*$|\(.*?(?:\)|$)|\[.*?(?:\]|$)", re.I)
 _WORD = re.compile(r"[^\W_]+")
 
 
+class Forms:
+    """Customary short forms and what they stand for; any list of them, or none."""
+
+    def __init__(self, short_forms: dict[str, str]):
+        #: The words that a short form stands for, and the short forms of a word.
+        self.words = {s: w.split() for s, w in short_forms.items()}
+        self.of: dict[str, list[str]] = {}
+        for s, ws in self.words.items():
+            for w in ws:
+                self.of.setdefault(w, []).append(s)
+        #: Letters of the longest short form; what is a misspelt one has one more at most.
+        self.longest = max(map(len, self.words), default=0)
+
+    def long_of(self, word: str) -> list[str]:
+        """The short forms of a word that have letters enough to be misspelt or joined."""
+        return [s for s in self.of.get(word, ()) if len(s) > 2]
+
+
 def fold(s: str) -> str:
     """Lower case without accents; compatibility forms as their plain ones."""
     return "".join(c for c in unicodedata.normalize("NFKD", s.casefold()) if not unicodedata.combining(c))
@@ -107,10 +120,6 @@ def _abbreviates(short: str, long: str) -> bool:
     return short[-1] == long[-1] and all(c in rest for c in short)
 
 
-#: Letters of the longest short form; what is a misspelt one has one more at most.
-LONGEST_SHORT = max(map(len, SHORT_FORMS))
-
-
 def _abbreviation_keys(t: str, as_short: bool) -> set[str]:
     """Keys that a short form of a word shares with it: its beginning, or its first, second, third and last letters in order.
 
@@ -127,7 +136,7 @@ def _abbreviation_keys(t: str, as_short: bool) -> set[str]:
     return out | {f"~{t[0]}{inner[i]}{inner[j]}~{t[-1]}" for i in range(len(inner)) for j in range(i + 1, len(inner))}
 
 
-def _spread(with_short: bool, longest: int):
+def _spread(forms: Forms, with_short: bool, longest: int):
     """(token, key): under which keys a token may meet a reference token, whose letters are `longest` at most."""
 
     def run(batches):
@@ -139,38 +148,41 @@ def _spread(with_short: bool, longest: int):
                 out += [(t, "=" + k) for k in deletions(t, 2 if len(t) > 9 else 1 if len(t) > 2 else 0)]
                 out += [(t, k) for k in _abbreviation_keys(t, with_short)]
                 if with_short:
-                    out += [(t, "=" + w) for w in SHORT_FORMS.get(t, "").split()]
-                    out += [(t, "'" + k) for k in deletions(t, 1)] if 2 < len(t) <= LONGEST_SHORT + 1 else []
+                    out += [(t, "=" + w) for w in forms.words.get(t, ())]
+                    out += [(t, "'" + k) for k in deletions(t, 1)] if 2 < len(t) <= forms.longest + 1 else []
                 else:
-                    out += [(t, "'" + k) for s in FORMS_OF.get(t, ()) if len(s) > 2 for k in deletions(s, 1)]
+                    out += [(t, "'" + k) for s in forms.long_of(t) for k in deletions(s, 1)]
             cols = list(zip(*out, strict=True)) if out else [[], []]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], names=["token", "key"])
 
     return run
 
 
-def similarity(token: str, word: str) -> float:
+def similarity(token: str, word: str, forms: Forms) -> float:
     """How well a token stands for a reference token: 1 the same, 0 not at all."""
     if token == word:
         return 1.0
-    if word in SHORT_FORMS.get(token, "").split():
+    if word in forms.words.get(token, ()):
         return 0.95
     limit = allowed(len(word))
     if abs(len(token) - len(word)) <= limit and (d := distance(token, word)) <= limit:
         return 1 - d / max(len(token), len(word))
-    if _abbreviates(token, word) or any(distance(token, s) == 1 for s in FORMS_OF.get(word, ()) if len(s) > 2):
+    if _abbreviates(token, word) or any(distance(token, s) == 1 for s in forms.long_of(word)):
         return 0.6
     return 0.0
 
 
-def _compare(batches):
-    for batch in batches:
-        a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        s = pa.array([similarity(x, y) for x, y in zip(a, b, strict=True)], pa.float64())
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), s], names=["token", "word", "sim"])
+def _compare(forms: Forms):
+    def run(batches):
+        for batch in batches:
+            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            s = pa.array([similarity(x, y, forms) for x, y in zip(a, b, strict=True)], pa.float64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), s], names=["token", "word", "sim"])
+
+    return run
 
 
-def match_tokens(distinct: DataFrame, vocabulary: DataFrame) -> DataFrame:
+def match_tokens(distinct: DataFrame, vocabulary: DataFrame, forms: Forms) -> DataFrame:
     """(token, word, sim) of the pairs of tokens that may stand for each other, joined on keys, never crossed.
 
     No token is left out for its length: one that is longer than every reference token by more than the edits allowed
@@ -178,11 +190,11 @@ def match_tokens(distinct: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """
     tasks = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     longest = vocabulary.agg(F.max(F.length("word"))).first()[0] or 0
-    left = distinct.select("token").repartition(tasks, "token").mapInArrow(_spread(True, longest), "token string, key string")
-    right = vocabulary.select(F.col("word").alias("token")).mapInArrow(_spread(False, longest), "token string, key string").withColumnRenamed("token", "word")
+    left = distinct.select("token").repartition(tasks, "token").mapInArrow(_spread(forms, True, longest), "token string, key string")
+    right = vocabulary.select(F.col("word").alias("token")).mapInArrow(_spread(forms, False, longest), "token string, key string").withColumnRenamed("token", "word")
     pairs = left.join(right, "key").select("token", "word").distinct()
     # distances are slow and pairs are small: they are dealt to all tasks, whatever was merged before
-    return pairs.repartition(tasks, "token", "word").mapInArrow(_compare, "token string, word string, sim double").filter("sim > 0")
+    return pairs.repartition(tasks, "token", "word").mapInArrow(_compare(forms), "token string, word string, sim double").filter("sim > 0")
 
 
 def _explode_values(batches):
@@ -194,30 +206,36 @@ def _explode_values(batches):
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], names=["value", "token"])
 
 
-def _variants(rows):
+def _variants(forms: Forms):
     """(entry, variant, word, size): the tokens of each entry's names, and each name of several tokens in one word."""
-    for batch in rows:
-        out = []
-        for entry, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            ts = list(dict.fromkeys(tokens(name)))
-            out += [(entry, name, t, len(ts)) for t in ts]
-            if len(ts) > 1:  # in one word, also with one or all tokens in a short form
-                forms = [[t, *(s for s in FORMS_OF.get(t, ()) if len(s) > 2)] for t in ts]
-                written = {"".join(ts), "".join(f[-1] for f in forms)}
-                written |= {"".join([*ts[:i], s, *ts[i + 1 :]]) for i, f in enumerate(forms) for s in f}
-                out += [(entry, f"{name}\x1f{w}", w, 1) for w in sorted(written) if len(w) > 5]
-        cols = list(zip(*out, strict=True)) if out else [[], [], [], []]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.string(), pa.int32()), strict=True)], names=["entry", "variant", "word", "size"])
-
-
-def map_values(values: DataFrame, column: str, reference: DataFrame, entry: str, name: str, aliases: str) -> DataFrame:
+
+    def run(rows):
+        for batch in rows:
+            out = []
+            for entry, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                ts = list(dict.fromkeys(tokens(name)))
+                out += [(entry, name, t, len(ts)) for t in ts]
+                if len(ts) > 1:  # in one word, also with one or all tokens in a short form
+                    ways = [[t, *forms.long_of(t)] for t in ts]
+                    written = {"".join(ts), "".join(f[-1] for f in ways)}
+                    written |= {"".join([*ts[:i], s, *ts[i + 1 :]]) for i, f in enumerate(ways) for s in f}
+                    out += [(entry, f"{name}\x1f{w}", w, 1) for w in sorted(written) if len(w) > 5]
+            cols = list(zip(*out, strict=True)) if out else [[], [], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.string(), pa.int32()), strict=True)], names=["entry", "variant", "word", "size"])
+
+    return run
+
+
+def map_values(values: DataFrame, column: str, reference: DataFrame, entry: str, name: str, aliases: str, short_forms: dict[str, str] | None = None) -> DataFrame:
     """(value, entry, score) of each distinct non-null value of a column; entry is null where none is complete.
 
-    aliases: a column of JSON array text with further names, or null. Ties go to the smaller entry. An empty
+    aliases: a column of JSON array text with further names, or null. short_forms: words by their customary short forms,
+    SHORT_FORMS if not given; with none, edits and abbreviations by the letters that are left remain. Ties go to the smaller entry. An empty
     reference leaves all values unmatched.
     """
+    forms = Forms(SHORT_FORMS if short_forms is None else short_forms)
     names = reference.select(F.col(entry).cast("long").alias("entry"), F.explode(F.concat(F.array(name), F.coalesce(F.from_json(aliases, "array<string>"), F.array().cast("array<string>")))).alias("name")).filter("name is not null")
-    parts = materialise(names.mapInArrow(_variants, "entry long, variant string, word string, size int"))
+    parts = materialise(names.mapInArrow(_variants(forms), "entry long, variant string, word string, size int"))
     total = parts.select("entry").distinct().count()
     weight = parts.groupBy("word").agg((F.log(F.lit(1.0 + total)) - F.log(F.count_distinct("entry"))).alias("idf"))
     parts = materialise(parts.join(weight, "word"))
@@ -225,7 +243,7 @@ def map_values(values: DataFrame, column: str, reference: DataFrame, entry: str,
     # a number of partitions that is not merged away: cutting is slow, though the values are small
     parted = distinct.repartition(int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")), "value")
     cut = materialise(parted.mapInArrow(_explode_values, "value string, token string"))
-    matches = materialise(match_tokens(cut.select("token").distinct(), parts.select("word").distinct()))
+    matches = materialise(match_tokens(cut.select("token").distinct(), parts.select("word").distinct(), forms))
     met = small_join(cut, matches, ["token"]).groupBy("value", "word").agg(F.max("sim").alias("sim"))
     hits = small_join(met, parts, ["word"])
     scored = hits.groupBy("value", "entry", "variant", "size").agg(
