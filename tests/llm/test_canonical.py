@@ -40,4 +40,27 @@ def test_distance_and_deletions():
 
 
 def test_similarity():
-    assert C.similarity("mgr", "manager") == 0.95 and C.similarity("supvsr", "supervisor") == 0.6 and C.similarity("mogr", "manager") == 0.6 and C.similarity("dog", "cashier") == 0 and C.similarity("qa", "qb") == 0
+    forms, none = C.Forms(C.SHORT_FORMS), C.Forms({})
+    known = {("mgr", "manager"): 0.95, ("supvsr", "supervisor"): 0.6, ("mogr", "manager"): 0.6, ("dog", "cashier"): 0, ("qa", "qb"): 0}
+    assert all(C.similarity(a, b, forms) == s for (a, b), s in known.items())
+    assert C.similarity("mgr", "manager", none) == 0.6 and C.similarity("mogr", "manager", none) == 0
+
+
+def test_tokens_of_any_length(spark):
+    long = "donaudampfschifffahrtsgesellschaftskapitaen"
+    words = spark.createDataFrame([(long,), ("manager",)], "word string")
+    typed = spark.createDataFrame([(long[:20] + long[21:],), (long + "x",), ("y" * 3000,), ("mgr",), ("manger",), ("manag",), ("m",), ("",)], "token string")
+    got = {(r.token, r.word) for r in C.match_tokens(typed, words, C.Forms({})).collect()}
+    assert got == {(long[:20] + long[21:], long), (long + "x", long), ("mgr", "manager"), ("manger", "manager"), ("manag", "manager")}
+
+
+def test_keys_meet_wherever_an_abbreviation_does():
+    import itertools
+
+    for word in ("manager", "supervisor", "clerk", "nurse"):
+        for n in range(1, len(word) - 2):
+            for left in itertools.combinations(range(1, len(word) - 1), n):
+                short = word[0] + "".join(word[i] for i in left) + word[-1]
+                if C._abbreviates(short, word):
+                    assert C._abbreviation_keys(short, True) & C._abbreviation_keys(word, False)
+        assert all(C._abbreviation_keys(word[:n], True) & C._abbreviation_keys(word, False) for n in range(3, len(word)) if C._abbreviates(word[:n], word))
