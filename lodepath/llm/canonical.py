@@ -192,7 +192,8 @@ def match_tokens(distinct: DataFrame, vocabulary: DataFrame, forms: Forms) -> Da
     longest = vocabulary.agg(F.max(F.length("word"))).first()[0] or 0
     left = distinct.select("token").repartition(tasks, "token").mapInArrow(_spread(forms, True, longest), "token string, key string")
     right = vocabulary.select(F.col("word").alias("token")).mapInArrow(_spread(forms, False, longest), "token string, key string").withColumnRenamed("token", "word")
-    pairs = left.join(right, "key").select("token", "word").distinct()
+    # a word has up to hundreds of keys, which the planner doesn't know: they are counted before they are broadcast
+    pairs = small_join(left, materialise(right), ["key"]).select("token", "word").distinct()
     # distances are slow and pairs are small: they are dealt to all tasks, whatever was merged before
     return pairs.repartition(tasks, "token", "word").mapInArrow(_compare(forms), "token string, word string, sim double").filter("sim > 0")
 

@@ -35,7 +35,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 def p3_unmatched(spark: SparkSession, d: str) -> DataFrame:
     """The values without an entry and how many rows hold them."""
     counts = table(spark, d, "jobs").groupBy(F.col("job_title_raw").alias("value")).agg(F.count(F.lit(1)).alias("n_rows"))
-    return counts.join(_mapped(spark, d).filter("entry is null"), "value").select("value", "n_rows")
+    return counts.join(_mapped(spark, d).filter("entry is null").hint("merge"), "value").select("value", "n_rows")
 
 
 #: Tokens in a container.

@@ -15,6 +15,8 @@ from .errors import Cancelled
 
 #: Rows up to which a side may be broadcast; joins with more use a salted shuffle.
 BROADCAST_ROWS = 100_000
+#: Bytes of values, as text, up to which a side may be broadcast: rows may be of any width.
+BROADCAST_BYTES = 32 << 20
 #: Copies of the smaller side in a salted join.
 SALTS = 16
 
@@ -144,22 +146,27 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(want)
 
 
-def fits(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether df has at most so many rows; reads no more than rows + 1 of them."""
-    return df.limit(rows + 1).count() <= rows
+def fits(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """Whether df has at most so many rows, and so many bytes in them as text; reads no more than rows + 1 of them."""
+    # widths are taken below the limit: only these move to the task that adds them up
+    names = [f"`{c.replace('`', '``')}`" for c in df.columns]
+    width = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)).cast("long") for c in names), F.lit(0).cast("long"))
+    n, total = df.select(width.alias("width")).limit(rows + 1).agg(F.count(F.lit(1)), F.sum("width")).first()
+    return n <= rows and (total or 0) <= size
 
 
 def small_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", rows: int = BROADCAST_ROWS) -> DataFrame:
     """Join a large left side, whose keys may be skewed, to a right side that is expected to be small.
 
-    If right has at most `rows` rows, it is broadcast. Beyond that, left gets a random salt and
+    If right has at most `rows` rows and BROADCAST_BYTES, it is broadcast. Beyond that, left gets a random salt and
     right is copied once per salt, so that no key stays in one task. `how`: inner, left, left_semi, left_anti.
     """
     if fits(right, rows):
         return left.join(F.broadcast(right), on, how)
     salted = left.withColumn("_salt", (F.rand(7) * SALTS).cast("int"))
     copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted.join(copies, [*on, "_salt"], how).drop("_salt")
+    # the planner takes the copies for as small as the packed file they come from, and would send them all through the driver
+    return salted.join(copies.hint("merge"), [*on, "_salt"], how).drop("_salt")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

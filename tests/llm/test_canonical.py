@@ -27,6 +27,17 @@ def test_cases(spark, monkeypatch, few):
     assert got == CASES
 
 
+def test_nothing_is_broadcast_uncounted(spark, monkeypatch):
+    from lodepath.llm import queries as Q
+
+    monkeypatch.setattr("lodepath.session.fits", lambda *_: False)
+    df, ref = frames(spark)
+    found = [C.map_values(df, "typed", ref, "title_id", "core_job_title", "known_aliases")]
+    found.append(C.match_tokens(df.select(df.typed.alias("token")).na.drop(), ref.select("word"), C.Forms({})))
+    found += [q(spark, "/root/testdata/sf0.001") for q in (Q.p3_found, Q.p3_unmatched)]
+    assert ["Broadcast" in x._jdf.queryExecution().executedPlan().toString() for x in found] == [False] * 4
+
+
 def test_empty(spark):
     df, ref = frames(spark)
     assert C.map_values(df.limit(0), "typed", ref, "title_id", "core_job_title", "known_aliases").count() == 0

@@ -7,6 +7,7 @@ import zlib
 
 import pytest
 from pages import gz
+from pyspark.sql import functions as F
 
 from lodepath.errors import IngestError
 from lodepath.functions.jsontext import record_digest
@@ -270,3 +271,15 @@ def test_small_join(spark, rows):
     assert fits(right, 2) and not fits(right, 1)
     for how, want in (("inner", {"a", "b"}), ("left", {"a", "b", "c", "d"}), ("left_semi", {"a", "b"}), ("left_anti", {"c", "d"})):
         assert {r.v for r in small_join(left, right, ["k"], how, rows).collect()} == want
+
+
+def test_small_join_broadcasts_what_was_counted_only(spark):
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    left = spark.createDataFrame([(1, "a"), (2, "c")], "k long, v string")
+    right = spark.createDataFrame([(1, "x"), (3, None)], "k long, `w.w` string")
+    assert fits(right, 2, 3) and not fits(right, 2, 2) and fits(right.limit(0), 0, 0)
+    assert "BroadcastHashJoin" in plan(small_join(left, right, ["k"], rows=2))
+    wide = spark.range(3).select(F.col("id").alias("k"), F.repeat(F.lit("w"), 12 << 20).alias("w"))
+    for df in (small_join(left, right, ["k"], rows=1), small_join(left, wide, ["k"], "left", rows=3)):
+        assert "Broadcast" not in plan(df)
+    assert {(r.v, r.n) for r in small_join(left, wide, ["k"], "left").select("v", F.length("w").alias("n")).collect()} == {("a", 12 << 20), ("c", 12 << 20)}
